@@ -1,9 +1,15 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
+from .langid import op10_language_id
+from .packing import op5_best_fit_packing
 from .simhash import op7_simhash_near_dedup
+from .spotsigs import op8_spotsigs_fingerprints
 
 QUERIES = {
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_spotsigs_fingerprints": op8_spotsigs_fingerprints,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
