@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
 from .langid import op10_language_id
+from .line_dedup import OP9_SQL, op9_line_dedup
 from .packing import op5_best_fit_packing
 from .simhash import op7_simhash_near_dedup
 from .spotsigs import op8_spotsigs_fingerprints
@@ -9,7 +10,10 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_spotsigs_fingerprints": op8_spotsigs_fingerprints,
+    "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": OP9_SQL,
+}
