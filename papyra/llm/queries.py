@@ -3,10 +3,12 @@
 from .langid import op10_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .packing import op5_best_fit_packing
+from .resampling import op4_importance_resampling
 from .simhash import op7_simhash_near_dedup
 from .spotsigs import op8_spotsigs_fingerprints
 
 QUERIES = {
+    "op4_importance_resampling": op4_importance_resampling,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_spotsigs_fingerprints": op8_spotsigs_fingerprints,
