@@ -4,12 +4,14 @@ from .langid import op10_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .lm import op1_kneser_ney
 from .packing import op5_best_fit_packing
+from .pieces import op2_sentencepiece
 from .resampling import op4_importance_resampling
 from .simhash import op7_simhash_near_dedup
 from .spotsigs import op8_spotsigs_fingerprints
 
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
