@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
+from .html_text import op6_html_extraction
 from .langid import op10_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .lm import op1_kneser_ney
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_html_extraction": op6_html_extraction,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_spotsigs_fingerprints": op8_spotsigs_fingerprints,
     "op9_line_dedup": op9_line_dedup,
