@@ -4,6 +4,7 @@ from .html_text import op6_html_extraction
 from .langid import op10_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .lm import op1_kneser_ney
+from .neighbours import op3_embedding_near_dedup
 from .packing import op5_best_fit_packing
 from .pieces import op2_sentencepiece
 from .resampling import op4_importance_resampling
@@ -13,6 +14,7 @@ from .spotsigs import op8_spotsigs_fingerprints
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_html_extraction": op6_html_extraction,

@@ -47,15 +47,16 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp long) per row of docs; a null text has no words."""
+def fingerprints(docs: DataFrame, width: int = 4, *also: str) -> DataFrame:
+    """(doc_id, fp long) and the long columns in `also` per row of docs; a null text has no words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             fps = np.array([fingerprint(x, width) for x in texts_as_bytes(b.column("text"))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), *(b.column(c) for c in also)], ["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in also))
 
 
 def pivots(count: int = 24, seed: int = 7) -> np.ndarray:
@@ -161,23 +162,40 @@ def near_links(fps: DataFrame, max_bits: int = 4, n_pivots: int = 24) -> DataFra
     return tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def _components(prints: DataFrame, max_bits: int, scratch: Scratch) -> DataFrame:
+    """(fp, component, component_id) of prints(doc_id, fp); component is a fingerprint of the group."""
+    nodes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    parts = connected_components(near_links(nodes.select("fp"), max_bits), scratch).withColumnRenamed("node", "fp")
+    whole = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    firsts = whole.groupBy("component").agg(F.min("first").alias("component_id"))
+    return scratch.table(whole.join(firsts, "component").select("fp", "component", "component_id"), "named")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows and ids keep one
     row each and share a component. An empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.table(fingerprints(docs, width), "prints")
-    nodes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    edges = near_links(nodes.select("fp"), max_bits)
-    parts = connected_components(edges, scratch).withColumnRenamed("node", "fp")
-    whole = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    firsts = whole.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = scratch.table(whole.join(firsts, "component").select("fp", "component_id"), "named")
+    named = _components(prints, max_bits, scratch)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicate(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
+    """docs without all but one document of each group: the one of the smallest doc_id (null first, equal
+    ids by the text's hash). Of rows equal in doc_id and text one stays. All columns stay."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    keyed = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    prints = scratch.table(fingerprints(keyed, width, "_t"), "prints")
+    named = _components(prints, max_bits, scratch)
+    kept = prints.join(named, "fp").groupBy("component").agg(F.min(F.struct("doc_id", "_t")).alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k._t").alias("_k"))
+    out = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k")), "left_semi")
+    if prints.groupBy("doc_id", "_t").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "_t"])
+    return out.drop("_t")
+
+
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
