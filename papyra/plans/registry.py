@@ -1,4 +1,6 @@
 """The queries by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import corpus
+
+QUERIES = {**corpus.QUERIES}
+ORACLE_SQL = {**corpus.ORACLE_SQL}
