@@ -1,6 +1,6 @@
 """The queries by name, and their SQL."""
 
-from . import corpus
+from . import corpus, search
 
-QUERIES = {**corpus.QUERIES}
-ORACLE_SQL = {**corpus.ORACLE_SQL}
+QUERIES = {**corpus.QUERIES, **search.QUERIES}
+ORACLE_SQL = {**corpus.ORACLE_SQL, **search.ORACLE_SQL}
