@@ -9,6 +9,7 @@ tightest bin that fits takes the piece, and when a new bin is needed the fullest
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 import zlib
@@ -23,8 +24,8 @@ from tokenizers import Tokenizer
 
 from .common import Scratch, slices, texts
 
-#: Pre-tokens that a worker remembers at most (it forgets all of them beyond that).
-REMEMBERED = 250_000
+#: Pre-tokens that a worker remembers at most in each of two generations.
+REMEMBERED = 350_000
 #: Below this code point NFC changes nothing and lower() maps each letter by itself.
 PLAIN_END = 0x250
 
@@ -50,18 +51,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.other, self.split = _plain_patterns()
         #: The split pattern above is this tokenizer's; any other file is read by the tokenizer alone.
         self.known = known and path.endswith("word_bpe_49k.json")
+        # The same model for text that is split and normal already: white space separates its pre-tokens.
+        parts = json.loads(self.tokenizer.to_str())
+        parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.words_only = Tokenizer.from_str(json.dumps(parts))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.table) + len(words) > REMEMBERED:
-            self.table.clear()
-        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        of, ids = np.array(e.words, np.int64), np.array(e.ids, dtype="<u4")
+        e = self.words_only.encode(" ".join(words), add_special_tokens=False)
+        of, ids = np.array(e.word_ids, np.int64), np.array(e.ids, dtype="<u4")
         starts = np.flatnonzero(np.diff(of, prepend=-1))
         if len(starts) == len(words):
             raw, ends = ids.tobytes(), np.append(starts[1:], len(ids)) * 4
@@ -73,9 +77,14 @@ class Encoder:
         split = [None if not self.known or self.other.search(t) else self.split.findall(t.lower()) for t in batch]
         seen = set().union(*(x for x in split if x))
         if len(self.table) + len(seen) > REMEMBERED:
-            self.table.clear()
-        if new := [w for w in seen if w not in self.table]:
-            self._learn(new)
+            self.older, self.table = self.table, {}
+        new = seen.difference(self.table)
+        if self.older:
+            known = new.intersection(self.older)
+            self.table.update(zip(known, map(self.older.__getitem__, known), strict=True))
+            new -= known
+        if new:
+            self._learn(list(new))
         get = self.table.__getitem__
         return [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(batch, split, strict=True)]
 
