@@ -79,18 +79,22 @@ def test_simhash_links_dense_groups_and_all_distances(spark):
 
 
 def test_vectors(spark):
-    out = {r.vec_id: r for r in neighbours.op3_embedding_near_dedup(spark, SF).collect()}
-    rows = sorted(spark.read.parquet(f"{SF}/embeddings.parquet").collect(), key=lambda r: r.vec_id)
-    x = np.array([r.embedding for r in rows], float)
+    rng = np.random.default_rng(8)
+    rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    for k, v, label in rows[::4]:  # copies, near copies on both sides of the threshold, and copies of other labels
+        noise = rng.standard_normal(len(v)) * rng.choice([0, 0.01, 0.02, 0.025, 0.03])
+        rows.append((k + 100_000, (np.array(v) * rng.choice([1, 3]) + noise).tolist(), label if k % 3 else label + 1))
+    out = {r.vec_id: r for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array([v for _, v, _ in rows], float)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    lab = np.array([r.label for r in rows])
+    lab = np.array([label for *_, label in rows])
     near = (x @ x.T >= 0.98) & (lab[:, None] == lab[None, :])
     np.fill_diagonal(near, False)
     label = components(len(rows), list(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True)))
     assert near.any()
-    for k, r in enumerate(rows):
-        o = out[r.vec_id]
-        assert (o.n_links, o.component_id, o.kept) == (near[k].sum(), rows[label[k]].vec_id, label[k] == k)
+    for k, (vec_id, _, _) in enumerate(rows):
+        o = out[vec_id]
+        assert (o.n_links, o.component_id, o.kept) == (near[k].sum(), rows[label[k]][0], label[k] == k)
 
 
 def test_saturated_lists(spark):
