@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.dates import in_force
-from papyra.functions.vectors import cosine, dot, unit
+from papyra.functions.vectors import cosine
 
 from . import lexical
 
@@ -30,45 +30,45 @@ def ranked(hits: DataFrame, k: int | None = None, order: list[Column] | None = N
     return out.where(F.col("rank") <= k) if k else out
 
 
-def dense(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """Exact cosine top-k of queries(query_id, v[, as_of]) over chunks(chunk_id, act_id, v, ...).
+def dense(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6, max_queries: int = 10_000) -> DataFrame:
+    """Exact cosine top-k of queries(query_id, v[, as_of]) over chunks(chunk_id, act_id, v[, begin_ord, end_ord, is_current]).
 
-    Every query is compared with every chunk in force for it, by definition of an exact search: the
-    queries, a stated set, are the broadcast side. Each task keeps its k best (a window group limit).
+    An exact search compares every query with every chunk in force for it. The queries are a stated set,
+    checked against max_queries and broadcast; chunks are not moved: each Arrow batch is one matrix
+    product, whose dates are masked before scoring, and only the k best of a batch go on (all that tie
+    with the k-th, so that the final order decides).
     """
-    q = queries.select("query_id", unit(F.col("v")).alias("qv"), *(["as_of"] if "as_of" in queries.columns else []))
-    rows = chunks.join(F.broadcast(q))
-    if "as_of" in queries.columns:
-        rows = pit_filter(rows)
-    rows = rows.withColumn("score", F.round(dot(F.col("qv"), unit(F.col("v"))), digits))
-    return ranked(rows.select("query_id", "chunk_id", "act_id", "score"), k)
-
-
-def dense_blocks(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
-    """dense() without dates for large tables: matrix products over Arrow batches, each keeping k a query."""
-    rows = queries.select("query_id", F.col("v").cast("array<double>").alias("v")).orderBy("query_id").limit(max_queries + 1).collect()
+    dated = "as_of" in queries.columns
+    rows = queries.select("query_id", F.col("v").cast("array<double>").alias("v"), *(["as_of"] if dated else [])).limit(max_queries + 1).collect()
     if len(rows) > max_queries:
         raise ValueError(f"more than {max_queries} queries at once")
+    meta = ["begin_ord", "end_ord", "is_current"] if dated else []
+    kind = dict(chunks.dtypes)["chunk_id"]
+    out = f"query_id long, chunk_id {kind}, act_id long, score double"
     if not rows:
-        return ranked(chunks.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "act_id", F.lit(0.0).alias("score")).limit(0), k)
-    ids, q = np.array([r.query_id for r in rows]), np.array([r.v for r in rows])
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, q))
+        return ranked(chunks.sparkSession.createDataFrame([], out), k)
+    q = np.array([r.v for r in rows])
+    as_of = np.array([np.nan if r.as_of is None else r.as_of for r in rows]) if dated else None
+    shared = chunks.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in rows]), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), as_of))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, as_of = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, q = shared.value
             v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 6)
+            s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, digits)
+            if as_of is not None:
+                begin, end = (b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("begin_ord", "end_ord"))
+                current = b.column("is_current").fill_null(False).to_numpy(zero_copy_only=False)
+                d = as_of[:, None]
+                s[~np.where(np.isnan(d), current, (begin <= d) & (end >= d))] = -np.inf
             n = min(k, b.num_rows)
-            # ties with the n-th are kept: the final order decides among them
             floor = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-            i, j = np.nonzero(s >= floor)
+            i, j = np.nonzero((s >= floor) & (s > -np.inf))
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), b.column("chunk_id").take(pa.array(j)), b.column("act_id").take(pa.array(j)), pa.array(s[i, j])], ["query_id", "chunk_id", "act_id", "score"])
 
-    found = chunks.select("chunk_id", F.col("act_id").cast("long").alias("act_id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, f"query_id long, chunk_id {dict(chunks.dtypes)['chunk_id']}, act_id long, score double")
+    found = chunks.select("chunk_id", F.col("act_id").cast("long").alias("act_id"), F.col("v").cast("array<double>").alias("v"), *meta).mapInArrow(run, out)
     return ranked(found, k)
 
 

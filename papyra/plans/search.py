@@ -49,7 +49,7 @@ def _lex(s, d, k=K, **more):
 
 
 def _dense(s, d, k=K):
-    chunks = _meta(s, d).join(docs(s, d).select(F.col("doc_id").alias("chunk_id"), _letters(F.col("text")).alias("v")), "chunk_id")
+    chunks = docs(s, d).select(F.col("doc_id").alias("chunk_id"), "act_id", "begin_ord", "end_ord", "is_current", _letters(F.col("text")).alias("v"))
     return retrieval.dense(basket(s, d).select("query_id", "as_of", _letters(F.col("query")).alias("v")), chunks, k)
 
 
@@ -171,7 +171,6 @@ QUERIES = {
     "index_load": lambda s, d: embedding.vector_table(_vectors(s, d), docs(s, d).withColumnRenamed("doc_id", "chunk_id").drop("begin_ord", "end_ord"))[0].select("chunk_id", "begin_ord", "end_ord", "is_current"),
     "pit_filter": lambda s, d: retrieval.pit_filter(docs(s, d).join(F.broadcast(basket(s, d).select("query_id", "as_of")))).groupBy("query_id").agg(F.count("*").alias("n")),
     "dense_topk": lambda s, d: retrieval.dense(_vectors(s, d).where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "v"), _vectors(s, d), K),
-    "dense_topk_blocks": lambda s, d: retrieval.dense_blocks(_vectors(s, d).where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "v"), _vectors(s, d), K),
     "dense_topk_pit": _dense,
     "lexical_pit": _lex,
     "lexical_overfetch": lambda s, d: _lex(s, d, K, overfetch=retrieval.OVERFETCH),
@@ -322,4 +321,3 @@ ORACLE_SQL = {
     "fixed_pieces": "select distinct substr(text, p::int + 1, 2000) as piece from documents, unnest(range(0, length(text) - 2000, 2000)) t(p) where length(text) >= 12000",
     "mrl_geometry": "with e as (select vec_id, embedding::double[] as v from embeddings where vec_id % 20 = 0), p as (select round(list_cosine_similarity(a.v, b.v), 9) as f, round(list_cosine_similarity(a.v[1:16], b.v[1:16]), 9) as c from e a join e b on a.vec_id < b.vec_id) select count(*) as pairs, round(corr(f, c), 6) as pearson, round(avg(abs(f - c)), 6) as mean_shift from p",
 }
-ORACLE_SQL["dense_topk_blocks"] = ORACLE_SQL["dense_topk"]
