@@ -238,20 +238,22 @@ def test_packing(spark, rows):
 @given(st.lists(st.integers(1, 64), max_size=200), st.integers(1, 9))
 def test_best_fit(lengths, open_bins):
     where, offsets = packing.best_fit(lengths, 64, open_bins)
-    free, order = {}, {}
+    free, used = [], collections.Counter()  # free spaces: bins of equal space are alike
     for n, b, o in zip(lengths, where, offsets, strict=True):
-        fits = {k: f for k, f in free.items() if f >= n}
-        if b in free:
-            assert free[b] == min(fits.values()) and o == 64 - free[b]
+        assert o == used[b]
+        used[b] += n
+        fits = [f for f in free if f >= n]
+        if fits:
+            assert o == 64 - min(fits)
+            free.remove(min(fits))
         else:
-            assert not fits and o == 0 and b not in order
-            order[b] = True
+            assert o == 0
             if len(free) == open_bins and n < 64:
-                del free[min(free, key=free.get)]  # any of the fullest: their rest is the same
-        free[b] = free.get(b, 64) - n
-        if not free[b]:
-            del free[b]
+                free.remove(min(free))
+        if 64 - o - n:
+            free.append(64 - o - n)
         assert len(free) <= open_bins
+    assert all(x <= 64 for x in used.values())
 
 
 @settings(max_examples=150, deadline=None)
