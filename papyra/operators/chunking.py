@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.text import strip
+from papyra.functions.union import union_all
 
 #: Fixed value: the control character that stands for the section sign in outline labels.
 LABEL_CONTROL = "\x15"
@@ -104,7 +105,7 @@ def segments(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", size.cast("long").alias("size"), "contents")
     nodes = base.select("doc_id", "size", F.posexplode("contents").alias("node", "x"))
     starts = nodes.select("doc_id", "size", F.least(F.greatest(F.col("x.char_start").cast("long"), F.lit(0)), F.col("size")).alias("start"), F.col("x.level").alias("level"), "node")
-    starts = starts.unionByName(base.select("doc_id", "size", F.lit(0).cast("long").alias("start"), F.lit(-1).alias("level"), F.lit(-1).alias("node")))
+    starts = union_all([starts, base.select("doc_id", "size", F.lit(0).cast("long").alias("start"), F.lit(-1).alias("level"), F.lit(-1).alias("node"))])
     owned = starts.groupBy("doc_id", "size", "start").agg(F.max_by("node", F.struct("level", "node")).alias("node"))
     following = F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))
     return owned.withColumn("end", F.coalesce(following, F.col("size"))).where(F.col("end") > F.col("start")).select("doc_id", "start", "end", "node")

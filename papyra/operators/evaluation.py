@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.functions.union import union_all
+
 #: Depths of recall and nDCG, digits of the report, depths of the overfetch probe.
 DEPTHS, NDCG_DEPTH, DIGITS, PROBE = (1, 5, 10, 20), 10, 4, (1, 2, 4, 8, 16)
 
@@ -20,16 +22,15 @@ def metrics(hits: DataFrame, gold: DataFrame, queries: DataFrame, levels: tuple[
     A level counts the queries that have gold of that level; one without any is left out. With `by`,
     rows per value and one over all (null) come from one rollup.
     """
-    out = None
+    out = []
     for level in levels:
         asked = gold.where(F.col(level).isNotNull()).select("query_id").distinct().join(queries.select("query_id", *([by] if by else [])), "query_id")
         rows = asked.join(first_matches(hits, gold, level), "query_id", "left")
         first = F.col("first")
         share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), DIGITS)
         values = [F.count("*").alias("n"), *[share((first <= d).cast("double")).alias(f"recall_at_{d}") for d in DEPTHS], share(1 / first).alias("mrr"), share(F.when(first <= NDCG_DEPTH, 1 / F.log2(first + 1))).alias(f"ndcg_at_{NDCG_DEPTH}")]
-        row = (rows.rollup(by) if by else rows.groupBy()).agg(*values).withColumn("level", F.lit(level.removesuffix("_id"))).where("n > 0")
-        out = row if out is None else out.unionByName(row)
-    return out
+        out.append((rows.rollup(by) if by else rows.groupBy()).agg(*values).withColumn("level", F.lit(level.removesuffix("_id"))).where("n > 0"))
+    return union_all(out)
 
 
 def shuffled_gold(gold: DataFrame, seed: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.text import tokens
+from papyra.functions.union import union_all
 
 #: Term saturation and length normalisation; digits that scores are rounded to.
 K1, B, DIGITS = 1.5, 0.75, 6
@@ -70,5 +71,5 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, pad_with: DataFrame
     if pad_with is not None:
         some = pad_with.select("chunk_id").orderBy("chunk_id").limit(k)
         zero = queries.select("query_id").crossJoin(F.broadcast(some)).join(found, ["query_id", "chunk_id"], "left_anti")  # k rows a query
-        found = found.unionByName(zero.withColumn("score", F.lit(0.0)))
+        found = union_all([found, zero.withColumn("score", F.lit(0.0))])
     return top(found, k)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.dates import in_force
+from papyra.functions.union import union_all
 from papyra.functions.vectors import cosine
 
 from . import lexical
@@ -83,10 +84,7 @@ def lexical_hits(index: lexical.LexicalIndex, queries: DataFrame, meta: DataFram
 
 def fuse(legs: list[DataFrame], k: int | None = None) -> DataFrame:
     """Reciprocal rank fusion; ties go to the hit seen first (first leg, then best rank)."""
-    rows = None
-    for n, leg in enumerate(legs):
-        leg = leg.select("query_id", "chunk_id", "act_id", F.lit(n).alias("leg"), "rank")
-        rows = leg if rows is None else rows.unionByName(leg)
+    rows = union_all([leg.select("query_id", "chunk_id", "act_id", F.lit(n).alias("leg"), "rank") for n, leg in enumerate(legs)])
     fused = rows.groupBy("query_id", "chunk_id", "act_id").agg(F.round(F.sum(1.0 / (F.lit(RRF_K) + F.col("rank"))), 9).alias("score"), F.min(F.struct("leg", "rank")).alias("first"))
     return ranked(fused, k, [F.desc("score"), F.col("first"), F.col("chunk_id")]).drop("first")
 
@@ -138,11 +136,7 @@ def pipeline(legs: list[DataFrame], queries: DataFrame, texts: DataFrame, collap
 
 def trace(stages: dict[str, DataFrame]) -> DataFrame:
     """(stage, hits, acts) per query."""
-    out = None
-    for name, hits in stages.items():
-        row = hits.groupBy("query_id").agg(F.lit(name).alias("stage"), F.count("*").alias("hits"), F.countDistinct("act_id").alias("acts"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return union_all([hits.groupBy("query_id").agg(F.lit(name).alias("stage"), F.count("*").alias("hits"), F.countDistinct("act_id").alias("acts")) for name, hits in stages.items()])
 
 
 def random_control(queries: DataFrame, chunks: DataFrame, k: int, seed: int) -> DataFrame:

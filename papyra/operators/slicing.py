@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.functions.stats import pct
+from papyra.functions.union import union_all
 
 #: Bits of a sidecar row's flags.
 FLAG_STUB, FLAG_CONTENTS, FLAG_CURRENT, FLAG_DUPLICATE, FLAG_DIGEST = 1, 2, 4, 8, 16
@@ -34,10 +35,7 @@ def sample_acts(editions: DataFrame, n: int, seed: int, compat: str | None = Non
 def account(steps: list[tuple[str, DataFrame]], whole: DataFrame) -> DataFrame:
     """(step, docs, docs_pct, chars, chars_pct): what each step dropped, in documents and in text."""
     total = whole.agg(F.count("*").alias("all_docs"), F.coalesce(F.sum("chars"), F.lit(0)).alias("all_chars"))
-    rows = None
-    for k, (name, df) in enumerate(steps):
-        row = df.agg(F.lit(k).alias("nr"), F.lit(name).alias("step"), F.count("*").alias("docs"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
-        rows = row if rows is None else rows.unionByName(row)
+    rows = union_all([df.agg(F.lit(k).alias("nr"), F.lit(name).alias("step"), F.count("*").alias("docs"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")) for k, (name, df) in enumerate(steps)])
     out = rows.crossJoin(F.broadcast(total))  # one row
     return out.select("nr", "step", "docs", pct(F.col("docs"), F.col("all_docs"), 3).alias("docs_pct"), "chars", pct(F.col("chars"), F.col("all_chars"), 3).alias("chars_pct"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from papyra.functions import text as tx
 from papyra.functions import vectors as vx
 from papyra.functions.dates import midpoint
+from papyra.functions.union import union_all
 from papyra.operators import basket as bk
 from papyra.operators import chunking, citations, embedding, evaluation, lexical, retrieval
 
@@ -73,19 +74,12 @@ def _stages(s, d, collapsed=True):
 def _ablation(s, d):
     st = _stages(s, d)
     variants = {"fusion": retrieval.upto(st["fused"], K), "cap": retrieval.upto(st["capped"], K), "rerank": retrieval.upto(st["reranked"], K), "dedup": retrieval.upto(st["collapsed"], K)}
-    out = None
-    for name, hits in variants.items():
-        row = evaluation.metrics(hits, _gold(s, d), basket(s, d), ("act_id",)).withColumn("variant", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return union_all([evaluation.metrics(hits, _gold(s, d), basket(s, d), ("act_id",)).withColumn("variant", F.lit(name)) for name, hits in variants.items()])
 
 
 def _modes(s, d):
-    out = None
-    for name, hits in {"dense": _dense(s, d), "lexical": _lex(s, d), "hybrid": _fused(s, d, K), "random": retrieval.random_control(basket(s, d), _meta(s, d), K, SEED)}.items():
-        row = evaluation.metrics(hits, _gold(s, d), basket(s, d), ("act_id",)).withColumn("mode", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    modes = {"dense": _dense(s, d), "lexical": _lex(s, d), "hybrid": _fused(s, d, K), "random": retrieval.random_control(basket(s, d), _meta(s, d), K, SEED)}
+    return union_all([evaluation.metrics(hits, _gold(s, d), basket(s, d), ("act_id",)).withColumn("mode", F.lit(name)) for name, hits in modes.items()])
 
 
 def _probe(s, d):
