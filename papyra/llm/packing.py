@@ -160,15 +160,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
     cut = pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, end_id, with_ids)
     cut = scratch.table(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-cut.count() // group_rows))
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
+    dealt = cut.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).repartitionById(groups, "g")
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("row")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # one group
+        if not held:
+            return
+        t = pa.Table.from_batches(held).sort_by("row")
         where, offsets = best_fit(t.column("length").to_pylist(), capacity, open_bins)
         ids = np.array(where, np.int64) + (t.column("g")[0].as_py() << 32)
-        return t.drop_columns(["g", "row"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets, pa.int64()))
+        out = t.drop_columns(["g", "row"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets, pa.int64()))
+        yield from out.combine_chunks().to_batches()
 
-    return dealt.groupBy("g").applyInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long")
+    return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long")
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
