@@ -1,4 +1,4 @@
-"""Statistics with the reference's definitions."""
+"""Shares and nearest-rank quantiles."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
