@@ -37,9 +37,11 @@ def later_copies(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame
     lines = _keys(docs).where("text <> ''").select("_d", "_t", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select("_d", "_t", "pos", F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"), words(line).cast("int").alias("w"))
     lines = scratch.table(lines, "lines")
-    often = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    # Written first, so that both sides of the join below are plain shuffles and a hot line's rows can be split.
+    often = scratch.table(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "often")
     doc = Window.partitionBy("_d", "_t").orderBy("pos")
-    known = lines.join(often, ["a", "b"]).distinct().withColumn("run", F.col("pos") - F.row_number().over(doc))
+    # Dealt by document before equal rows are merged: else the merge would bind the join to its keys.
+    known = lines.join(often, ["a", "b"]).repartition("_d", "_t").distinct().withColumn("run", F.col("pos") - F.row_number().over(doc))
     run = Window.partitionBy("_d", "_t", "run").orderBy("pos")
     known = known.withColumn("upto", F.sum("w").over(run)).withColumn("n0", F.struct("a", "b"))
     depth = min_words.bit_length() - 1
@@ -49,7 +51,7 @@ def later_copies(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame
         known = known.withColumn(f"n{k + 1}", F.when(other.isNotNull(), F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(-1), *parts).alias("b"))))
     known = known.withColumn("names", F.array(*[f"n{k}" for k in range(depth + 1)])).select("_d", "_t", "run", "pos", "w", "upto", "names")
     known = scratch.table(known, "names")
-    scratch.drop(lines)
+    scratch.drop(lines, often)
 
     # The nearest end whose run from here has min_words words; and the nearest start, from an end.
     by = ["_d", "_t", "run"]
