@@ -3,10 +3,10 @@
 Vectors of one label and content collapse to a node with a count, so copies cost one row. Random
 hyperplane orders give each node its first neighbours: every order is dealt by ranges of (label, code), so a
 hot label spreads over all tasks, and each vector meets the next few in its order. Rounds of local joins
-then refine the graph: a node's neighbours are compared with each other, and each keeps its best K. A node
-whose K neighbours all pass the threshold is saturated: its list has to grow. Lists of a linked
-component grow to the component at once, in tiles of bounded size that compute all cosines and return counts,
-not pairs. A sample of nodes is compared with every vector of its label; while that audit finds links
+then refine the graph: a node's neighbours are compared with each other, and each keeps its best K. Every
+pair scored on the way that passes the threshold joins its nodes' components before lists are cut to K, so a
+list full of its own group loses no link to another. Lists of a linked component then grow to the component
+at once, in tiles of bounded size that compute all cosines and return counts, not pairs. A sample of nodes is compared with every vector of its label; while that audit finds links
 that the graph lacks, they are added and further orders are drawn.
 """
 
@@ -20,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.functions.union import union_all
+
 from .common import Scratch, parallel
 from .graph import connected_components
 
 NEIGHBOURS, WINDOW, ORDERS, CODE_BITS, TILE, AUDITED = 16, 32, 8, 14, 256, 100
 #: Neighbours below this cosine are not kept: nothing that is linked is reached through them.
 EXPLORED = 0.8
+SCORED = "a long, b long, sim double, joined boolean"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -83,8 +86,9 @@ def _valid():
     return F.col("label").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
 
 
-def first_neighbours(nodes: DataFrame, seed: int) -> DataFrame:
-    """(a, b, sim): for each node up to NEIGHBOURS near ones among the next WINDOW of each random order."""
+def first_neighbours(nodes: DataFrame, seed: int, threshold: float) -> DataFrame:
+    """SCORED: for each node up to NEIGHBOURS near ones among the next WINDOW of each random order, and what
+    all links among these join."""
     n = parallel(nodes.sparkSession)
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,17 +126,36 @@ def first_neighbours(nodes: DataFrame, seed: int) -> DataFrame:
                         k = i[dim == d]
                         at = np.arange(d)
                         sim = np.einsum("ij,ij->i", flat[ends[k][:, None] + at], flat[ends[k + s][:, None] + at])
-                        near = sim >= EXPLORED
+                        near = sim >= min(EXPLORED, threshold)
                         found.append((nid[k[near]], nid[k[near] + s], sim[near]))
             if found:
-                yield _best(*map(np.concatenate, zip(*found, strict=True)))
+                yield _scored(*map(np.concatenate, zip(*found, strict=True)), threshold)
 
     rows = nodes.select("nid", "lab", "x").mapInArrow(keyed, "t int, lab long, place double, nid long, x array<double>")
-    return rows.repartitionByRange(n, "t", "lab", "place").sortWithinPartitions("t", "lab", "place").mapInArrow(compared, "a long, b long, sim double")
+    return rows.repartitionByRange(n, "t", "lab", "place").sortWithinPartitions("t", "lab", "place").mapInArrow(compared, SCORED)
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the pairs beside the smallest that it can reach, where that is another: as few pairs as a
+    spanning forest has."""
+    ids, at = np.unique(np.append(a, b), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while ((above := root[root]) != root).any():
+            root = above
+    moved = root != np.arange(len(ids))
+    return ids[moved], ids[root[moved]]
 
 
-def _best(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    """Both directions of the pairs, the NEIGHBOURS best of each first node."""
+def _scored(a: np.ndarray, b: np.ndarray, sim: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Both directions of the pairs, the NEIGHBOURS best of each first node; and, joined, the stars of all
+    pairs of threshold or more, whether a list has room for them or not."""
+    u, v = _stars(a[sim >= threshold], b[sim >= threshold])
     a, b, sim = np.append(a, b), np.append(b, a), np.append(sim, sim)
     order = np.lexsort((b, -sim, a))
     a, b, sim = a[order], b[order], sim[order]
@@ -141,7 +164,8 @@ def _best(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
     new = np.append(True, a[1:] != a[:-1]) if len(a) else np.zeros(0, bool)
     rank = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
     top = rank < NEIGHBOURS
-    return pa.RecordBatch.from_arrays([pa.array(a[top]), pa.array(b[top]), pa.array(sim[top])], ["a", "b", "sim"])
+    joined = np.arange(top.sum() + len(u)) >= top.sum()
+    return pa.RecordBatch.from_arrays([pa.array(np.append(a[top], u)), pa.array(np.append(b[top], v)), pa.array(np.append(sim[top], np.ones(len(u)))), pa.array(joined)], ["a", "b", "sim", "joined"])
 
 
 def _lists(pairs: DataFrame) -> DataFrame:
@@ -151,8 +175,8 @@ def _lists(pairs: DataFrame) -> DataFrame:
     return once.withColumn("k", F.row_number().over(best)).where(F.col("k") <= NEIGHBOURS).drop("k")
 
 
-def local_join(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs among each node's neighbours, both ways round, that are near."""
+def local_join(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """SCORED: pairs among each node's neighbours, both ways round, that are near."""
     back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
     around = _lists(lists.unionByName(back)).select("a", "b")
     with_x = around.join(nodes.select(F.col("nid").alias("b"), "x"), "b")
@@ -164,11 +188,11 @@ def local_join(lists: DataFrame, nodes: DataFrame) -> DataFrame:
             out = []
             for s, e in itertools.pairwise(cuts.tolist()):
                 m = _matrix(x.slice(s, e - s))
-                i, j = np.nonzero(np.triu(m @ m.T >= EXPLORED, 1))
+                i, j = np.nonzero(np.triu(m @ m.T >= min(EXPLORED, threshold), 1))
                 out.append((ids[s + i], ids[s + j], np.einsum("ij,ij->i", m[i], m[j])))
-            yield _best(*map(np.concatenate, zip(*out, strict=True)))
+            yield _scored(*map(np.concatenate, zip(*out, strict=True)), threshold)
 
-    return with_x.repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, b long, sim double")
+    return with_x.repartition("a").sortWithinPartitions("a").mapInArrow(run, SCORED)
 
 
 def audit(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
@@ -235,20 +259,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, rounds: int = 2
     scratch = Scratch(spark, "neighbours")
     rows, nodes = nodes_of(vectors, scratch)
     edges, parts, lists = None, None, None
+    pair = ["a", "b", "sim"]
     for draw in range(draws):
-        start = first_neighbours(nodes, seed=draw)
+        scored = scratch.table(first_neighbours(nodes, draw, threshold), "scored")
+        joins = [scored.where("joined").select("a", "b")]
+        start = scored.where("not joined").select(*pair)
         grown = scratch.table(_lists(start if lists is None else start.unionByName(lists)), "lists")
         for _ in range(rounds):
             before = grown.count()
-            better = scratch.table(_lists(grown.unionByName(local_join(grown, nodes))), "lists")
+            scored = scratch.table(local_join(grown, nodes, threshold), "scored")
+            joins.append(scored.where("joined").select("a", "b"))
+            better = scratch.table(_lists(grown.unionByName(scored.where("not joined").select(*pair))), "lists")
             changed = better.join(grown, ["a", "b"], "left_anti").limit(1).count() or better.count() != before
             scratch.drop(grown)
             grown = better
             if not changed:
                 break
         lists = grown
-        now = lists.where(F.col("sim") >= threshold).select("a", "b")
-        edges = now if edges is None else now.unionByName(edges)
+        edges = union_all(joins if edges is None else [*joins, edges])
         parts = scratch.table(connected_components(edges, scratch), "parts")
         seen = scratch.table(audit(nodes, parts, threshold), "audit")
         if not seen.where("not found").limit(1).count():

@@ -107,6 +107,30 @@ def test_saturated_lists(spark):
     assert [r.n_links for r in neighbours.near_duplicates(df).orderBy("vec_id").collect()] == (near.sum(axis=1) - 1).tolist()
 
 
+def _components_are_exact(spark, x):
+    """near_duplicates over vectors of one label against all cosines."""
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while (low := np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1)))[low].tolist() != label.tolist():
+        label = low[low]
+    out = neighbours.near_duplicates(df).orderBy("vec_id").collect()
+    assert [r.component_id for r in out] == label.tolist()
+    assert [r.n_links for r in out] == near.sum(axis=1).tolist()
+
+
+def test_links_between_full_lists(spark):
+    rng = np.random.default_rng(5)
+    x = []
+    for _ in range(80):  # two groups of 20, larger than a list, whose centres have cosine 0.985
+        a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+        for centre in (a, 0.985 * a + math.sqrt(1 - 0.985**2) * b):
+            x.append(centre + rng.standard_normal((20, 32)) * 0.001)
+    _components_are_exact(spark, np.concatenate(x))
+
+
 def test_model_is_kneser_ney(spark, rows):
     out = {r.doc_id: r for r in lm.op1_kneser_ney(spark, SF).collect()}
     tok = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in rows}
