@@ -6,13 +6,14 @@ hot label spreads over all tasks, and each vector meets the next few in its orde
 then refine the graph: a node's neighbours are compared with each other, and each keeps its best K. Every
 pair scored on the way that passes the threshold joins its nodes' components before lists are cut to K, so a
 list full of its own group loses no link to another. Lists of a linked component then grow to the component
-at once, in tiles of bounded size that compute all cosines and return counts, not pairs. A sample of nodes is compared with every vector of its label; while that audit finds links
-that the graph lacks, they are added and further orders are drawn.
+at once, in tiles of bounded size that compute all cosines and return counts, not pairs. An audit compares every node with every other of its label: links that the graph lacks are added,
+so the result does not rest on the recall of orders and walk, and that recall is logged.
 """
 
 from __future__ import annotations
 
 import itertools
+import logging
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,8 +26,12 @@ from papyra.functions.union import union_all
 from .common import Scratch, parallel
 from .graph import connected_components
 
-NEIGHBOURS, WINDOW, ORDERS, CODE_BITS, TILE, AUDITED = 16, 32, 8, 14, 256, 100
-#: Neighbours below this cosine are not kept: nothing that is linked is reached through them.
+log = logging.getLogger(__name__)
+
+NEIGHBOURS, WINDOW, ORDERS, CODE_BITS, TILE = 16, 32, 8, 14, 256
+#: The audit's blocks hold so many numbers; a label of several tiles is dealt to this many blocks at least.
+BLOCK_VALUES, SPREAD = 1 << 20, 6
+#: Neighbours below this cosine are not kept for the walk; what it then misses is left to the audit.
 EXPLORED = 0.8
 SCORED = "a long, b long, sim double, joined boolean"
 
@@ -196,28 +201,49 @@ def local_join(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
 
 
 def audit(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, found) for every link of a sampled node with any vector of its label; found: both are in one
-    component. AUDITED nodes are sampled, by hash, so what is broadcast is bounded."""
-    named = nodes.join(parts.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    sample = named.orderBy(F.xxhash64("nid"), "nid").limit(AUDITED).select("nid", "lab", "x", "component").toArrow()
-    theirs = [(n, lab, np.array(x), c) for n, lab, x, c in zip(*(sample.column(k).to_pylist() for k in ("nid", "lab", "x", "component")), strict=True)]
-    shared = nodes.sparkSession.sparkContext.broadcast(theirs)
+    """(a, b, links, missed): every vector is compared with every other of its label, in tiles of two blocks
+    of bounded size. Rows with a and b name components that are linked but were not joined; rows without
+    count a tile's links, and those between components.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lab, nid, part = (b.column(k).to_numpy() for k in ("lab", "nid", "component"))
-            sets = {}
-            for n, label, x, c in shared.value:
-                if label not in sets:
-                    at = np.flatnonzero(lab == label)
-                    sets[label] = at, _matrix(b.column("x").take(pa.array(at))) if len(at) else None
-                at, m = sets[label]
-                if m is None:
-                    continue
-                hit = at[(m @ x >= threshold) & (nid[at] != n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), n)), pa.array(nid[hit]), pa.array(part[hit] == c)], ["a", "b", "found"])
+    The cost is quadratic in a label, as a link that no order and no list came upon is found in no other way.
+    """
+    named = nodes.join(parts.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "lab", "x", F.coalesce("component", "nid").alias("component"))
+    sizes = nodes.groupBy("lab").agg(F.count("*").alias("size"), F.max(F.size("x")).alias("dim"))
+    blocks = F.greatest(F.ceil(F.col("size") * F.col("dim") / BLOCK_VALUES), F.least(F.lit(SPREAD), F.ceil(F.col("size") / TILE)))
+    rows = (
+        named.join(sizes, "lab")
+        .withColumn("blocks", blocks.cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("lab", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "component", "x")
+    )
+    keys = ["lab", "i", "j"]
 
-    return named.select("nid", "lab", "x", "component").mapInArrow(run, "a long, b long, found boolean")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, keys):
+            i, j, mine, part = (t.column(k).to_numpy() for k in ("i", "j", "mine", "component"))
+            x = t.column("x").chunk(0)
+            for s, e in itertools.pairwise(_starts(t, keys).tolist()):
+                m, one = _matrix(x.slice(s, e - s)), i[s] == j[s]
+                left = np.arange(e - s) if one else np.flatnonzero(mine[s:e] == i[s])
+                right = left if one else np.flatnonzero(mine[s:e] == j[s])
+                other, c = m[right].T, part[s:e]
+                links, found = 0, []
+                for p in range(0, len(left), TILE):
+                    some = left[p : p + TILE]
+                    u, v = np.nonzero(m[some] @ other >= threshold)
+                    u, v = some[u], right[v]
+                    u, v = (u[u < v], v[u < v]) if one else (u, v)
+                    links += len(u)
+                    apart = c[u] != c[v]
+                    found.append((*_stars(c[u[apart]], c[v[apart]]), int(apart.sum())))
+                a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]).astype(np.int64) for k in (0, 1))
+                a, b = _stars(a, b)
+                n = len(a)
+                ends = [pa.array([*k.tolist(), None], pa.int64()) for k in (a, b)]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array([0] * n + [links]), pa.array([0] * n + [sum(f[2] for f in found)])], ["a", "b", "links", "missed"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, links long, missed long")
 
 
 def link_counts(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
@@ -248,7 +274,7 @@ def link_counts(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFra
     return counted.groupBy("nid").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, rounds: int = 2, draws: int = 3) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, rounds: int = 2) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label).
 
     Rows link if their labels are equal and not null and the cosine is threshold or more. A null or zero
@@ -258,33 +284,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, rounds: int = 2
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
     rows, nodes = nodes_of(vectors, scratch)
-    edges, parts, lists = None, None, None
-    pair = ["a", "b", "sim"]
-    for draw in range(draws):
-        scored = scratch.table(first_neighbours(nodes, draw, threshold), "scored")
-        joins = [scored.where("joined").select("a", "b")]
-        start = scored.where("not joined").select(*pair)
-        grown = scratch.table(_lists(start if lists is None else start.unionByName(lists)), "lists")
-        for _ in range(rounds):
-            before = grown.count()
-            scored = scratch.table(local_join(grown, nodes, threshold), "scored")
-            joins.append(scored.where("joined").select("a", "b"))
-            better = scratch.table(_lists(grown.unionByName(scored.where("not joined").select(*pair))), "lists")
-            changed = better.join(grown, ["a", "b"], "left_anti").limit(1).count() or better.count() != before
-            scratch.drop(grown)
-            grown = better
-            if not changed:
-                break
-        lists = grown
-        edges = union_all(joins if edges is None else [*joins, edges])
-        parts = scratch.table(connected_components(edges, scratch), "parts")
-        seen = scratch.table(audit(nodes, parts, threshold), "audit")
-        if not seen.where("not found").limit(1).count():
+    scored = scratch.table(first_neighbours(nodes, 0, threshold), "scored")
+    joins, pair = [scored.where("joined").select("a", "b")], ["a", "b", "sim"]
+    grown = scratch.table(_lists(scored.where("not joined").select(*pair)), "lists")
+    for _ in range(rounds):
+        before = grown.count()
+        scored = scratch.table(local_join(grown, nodes, threshold), "scored")
+        joins.append(scored.where("joined").select("a", "b"))
+        better = scratch.table(_lists(grown.unionByName(scored.where("not joined").select(*pair))), "lists")
+        changed = better.join(grown, ["a", "b"], "left_anti").limit(1).count() or better.count() != before
+        scratch.drop(grown)
+        grown = better
+        if not changed:
             break
-        edges = scratch.table(edges.unionByName(seen.where("not found").select("a", "b")), "edges")
-        parts = None
-    if parts is None:
-        parts = scratch.table(connected_components(edges, scratch), "parts")
+    edges = union_all(joins)
+    parts = scratch.table(connected_components(edges, scratch), "parts")
+    seen = scratch.table(audit(nodes, parts, threshold), "audit")
+    links, missed = seen.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("missed"), F.lit(0))).first()
+    log.info("links of distinct vectors: %d; between components before the audit: %d; recall of the walk's components: %.6f", links, missed, 1 - missed / max(1, links))
+    if missed:
+        parts = scratch.table(connected_components(edges.unionByName(seen.where("a is not null").select("a", "b")), scratch), "parts")
     counts = link_counts(nodes, parts, threshold)
     whole = nodes.select("nid", "n", "first", "h1", "h2").join(parts.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     firsts = whole.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -131,6 +131,19 @@ def test_links_between_full_lists(spark):
     _components_are_exact(spark, np.concatenate(x))
 
 
+def test_links_that_no_order_comes_upon(spark, monkeypatch, caplog):
+    """Isolated pairs under one order and a window of one, which stand in for a label of very many rows."""
+    monkeypatch.setattr(neighbours, "ORDERS", 1)
+    monkeypatch.setattr(neighbours, "WINDOW", 1)
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((2000, 32)) + 1
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    with caplog.at_level("INFO", neighbours.__name__):
+        _components_are_exact(spark, np.concatenate([a, a + rng.standard_normal(a.shape) * 0.03]))
+    (record,) = caplog.records
+    assert 0 < record.args[1] < record.args[0]  # the walk missed some, and says so
+
+
 def test_model_is_kneser_ney(spark, rows):
     out = {r.doc_id: r for r in lm.op1_kneser_ney(spark, SF).collect()}
     tok = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in rows}
