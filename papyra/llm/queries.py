@@ -3,7 +3,7 @@
 from .html_text import op6_html_extraction
 from .langid import op10_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
-from .lm import op1_kneser_ney
+from .lm import op1_kneser_ney, op1_kneser_ney_trigrams
 from .neighbours import op3_embedding_near_dedup
 from .packing import op5_best_fit_packing
 from .pieces import op2_sentencepiece
@@ -13,6 +13,7 @@ from .spotsigs import op8_spotsigs_fingerprints
 
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
+    "op1_kneser_ney_trigrams": op1_kneser_ney_trigrams,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_importance_resampling": op4_importance_resampling,

@@ -179,6 +179,38 @@ def test_model_is_kneser_ney(spark, rows):
         assert math.isclose(o.base_score, sum(math.log10((words[w] + 1) / (size + vocabulary + 1)) for w in t), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_model_of_higher_order(spark, docs, rows, order):
+    from papyra.llm.common import Scratch
+
+    some = docs.where("doc_id % 5 <> 0")
+    out = {r.doc_id: r for r in lm.score(docs, lm.train(some, Scratch(spark, "t"), ranges=3, order=order)).collect()}
+    tok = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in rows}
+    padded = {d: [0] * (order - 1) + t for d, t in tok.items()}
+    count = {order: collections.Counter(tuple(p[k : k + order]) for d, p in padded.items() if d % 5 for k in range(len(p) - order + 1))}
+    for n in range(order - 1, 0, -1):  # lower orders count left neighbours
+        count[n] = collections.Counter(g[1:] for g in count[n + 1])
+    cut, total, rest = {}, {n: collections.Counter() for n in count}, {n: collections.Counter() for n in count}
+    for n, grams in count.items():
+        cut[n] = lm.discounts([sum(c == k for c in grams.values()) for k in (1, 2, 3, 4)])
+        for g, c in grams.items():
+            total[n][g[:-1]] += c
+            rest[n][g[:-1]] += cut[n][min(c, 3)]
+    vocabulary = len({w for d, t in tok.items() if d % 5 for w in t})
+
+    def p(g):
+        n = len(g)
+        below = p(g[1:]) if n > 1 else 1 / (vocabulary + 1)
+        if not total[n][g[:-1]]:
+            return below
+        c = count[n][g]
+        return (max(0, c - cut[n][min(c, 3)]) + rest[n][g[:-1]] * below) / total[n][g[:-1]]
+
+    for d, x in padded.items():
+        own = sum(math.log10(p(tuple(x[k : k + order]))) for k in range(len(x) - order + 1))
+        assert math.isclose(out[d].score, own, rel_tol=1e-9)
+
+
 def test_language_on_held_out_rows(spark, rows):
     lang = {r.doc_id: r.lang for r in rows}
     out = [r for r in langid.op10_language_id(spark, SF).collect() if r.held_out]
