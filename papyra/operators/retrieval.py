@@ -17,6 +17,8 @@ from . import lexical
 
 #: The constant of reciprocal rank fusion, pool sizes and caps of the search pipeline.
 RRF_K, POOL, CAP, RERANKED, TOP, OVERFETCH = 60, 60, 3, 50, 10, 8
+#: Queries that dense search multiplies with an Arrow batch at a time.
+STEP = 512
 HIT = ["query_id", "chunk_id", "act_id", "score", "rank"]
 
 
@@ -34,43 +36,61 @@ def ranked(hits: DataFrame, k: int | None = None, order: list[Column] | None = N
 def dense(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6, max_queries: int = 10_000) -> DataFrame:
     """Exact cosine top-k of queries(query_id, v[, as_of]) over chunks(chunk_id, act_id, v[, begin_ord, end_ord, is_current]).
 
-    An exact search compares every query with every chunk in force for it. The queries are a stated set,
-    checked against max_queries and broadcast; chunks are not moved: each Arrow batch is one matrix
-    product, whose dates are masked before scoring, and only the k best of a batch go on (all that tie
-    with the k-th, so that the final order decides).
+    An exact search compares every query with every chunk in force for it. The queries are read in blocks of
+    max_queries by their ids, and each block is broadcast; chunks are not moved: each Arrow batch is
+    multiplied with STEP queries at a time, dates are masked before scoring, and only the k best of a batch
+    go on (all that tie with the k-th, so that the final order decides).
     """
     dated = "as_of" in queries.columns
-    rows = queries.select("query_id", F.col("v").cast("array<double>").alias("v"), *(["as_of"] if dated else [])).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries at once")
+    asked = queries.select("query_id", F.col("v").cast("array<double>").alias("v"), *(["as_of"] if dated else []))
     meta = ["begin_ord", "end_ord", "is_current"] if dated else []
     kind = dict(chunks.dtypes)["chunk_id"]
     out = f"query_id long, chunk_id {kind}, act_id long, score double"
-    if not rows:
-        return ranked(chunks.sparkSession.createDataFrame([], out), k)
-    q = np.array([r.v for r in rows])
-    as_of = np.array([np.nan if r.as_of is None else r.as_of for r in rows]) if dated else None
-    shared = chunks.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in rows]), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), as_of))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, as_of = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, digits)
-            if as_of is not None:
-                begin, end = (b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("begin_ord", "end_ord"))
-                current = b.column("is_current").fill_null(False).to_numpy(zero_copy_only=False)
-                d = as_of[:, None]
-                s[~np.where(np.isnan(d), current, (begin <= d) & (end >= d))] = -np.inf
-            n = min(k, b.num_rows)
-            floor = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-            i, j = np.nonzero((s >= floor) & (s > -np.inf))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), b.column("chunk_id").take(pa.array(j)), b.column("act_id").take(pa.array(j)), pa.array(s[i, j])], ["query_id", "chunk_id", "act_id", "score"])
-
-    found = chunks.select("chunk_id", F.col("act_id").cast("long").alias("act_id"), F.col("v").cast("array<double>").alias("v"), *meta).mapInArrow(run, out)
-    return ranked(found, k)
+    source = chunks.select("chunk_id", F.col("act_id").cast("long").alias("act_id"), F.col("v").cast("array<double>").alias("v"), *meta)
+
+    def search(rows: list) -> DataFrame:
+        q = np.array([r.v for r in rows])
+        as_of = np.array([np.nan if r.as_of is None else r.as_of for r in rows]) if dated else None
+        shared = chunks.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in rows]), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), as_of))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, as_of = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                v = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
+                if as_of is not None:
+                    begin, end = (b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("begin_ord", "end_ord"))
+                    current = b.column("is_current").fill_null(False).to_numpy(zero_copy_only=False)
+                for p in range(0, len(q), STEP):
+                    s = np.round(q[p : p + STEP] @ v, digits)
+                    if as_of is not None:
+                        d = as_of[p : p + STEP, None]
+                        s[~np.where(np.isnan(d), current, (begin <= d) & (end >= d))] = -np.inf
+                    n = min(k, b.num_rows)
+                    floor = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+                    i, j = np.nonzero((s >= floor) & (s > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[p + i]), b.column("chunk_id").take(pa.array(j)), b.column("act_id").take(pa.array(j)), pa.array(s[i, j])], ["query_id", "chunk_id", "act_id", "score"])
+
+        return source.mapInArrow(run, out)
+
+    found = [search(rows) for rows in _blocks(asked, max_queries)]
+    return ranked(union_all(found) if found else chunks.sparkSession.createDataFrame([], out), k)
+
+
+def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
+    """The queries in blocks of `size` rows at most, in the order of their ids; an id's rows stay together."""
+    rest = queries
+    while rows := rest.orderBy("query_id").limit(size + 1).collect():
+        if len(rows) <= size:
+            yield rows
+            return
+        block = [r for r in rows if r.query_id != rows[-1].query_id]
+        if not block:
+            raise ValueError(f"more than {size} queries of one id")
+        yield block
+        rest = queries.where(F.col("query_id") > block[-1].query_id)
 
 
 def lexical_hits(index: lexical.LexicalIndex, queries: DataFrame, meta: DataFrame, k: int, overfetch: int | None = None) -> DataFrame:

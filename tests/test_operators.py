@@ -114,3 +114,21 @@ def test_windows_resume_whole(spark):
     assert sorted(r.chunk_id for r in made.collect()) == ["c1", "c4"]
     with pytest.raises(ValueError):
         embedding.make_embedder("nothing")
+
+
+def test_dense_search_reads_queries_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from papyra.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "STEP", 3)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 5))
+    chunks = spark.createDataFrame([(k, k % 9, v.tolist()) for k, v in enumerate(x)], "chunk_id long, act_id long, v array<double>")
+    queries = chunks.where("chunk_id % 2 = 0").selectExpr("chunk_id as query_id", "v")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(u @ u.T, 6)
+    want = {(q, int(c), k + 1) for q in range(0, 60, 2) for k, c in enumerate(np.lexsort((np.arange(60), -s[q]))[:4])}
+    for size in (7, 29, 30, 100):
+        got = [(r.query_id, r.chunk_id, r.rank) for r in retrieval.dense(queries, chunks, 4, max_queries=size).collect()]
+        assert len(got) == 120 and set(got) == want
