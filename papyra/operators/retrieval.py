@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from papyra.functions.dates import in_force
 from papyra.functions.union import union_all
-from papyra.functions.vectors import cosine
 
 from . import lexical
 
@@ -19,6 +18,8 @@ from . import lexical
 RRF_K, POOL, CAP, RERANKED, TOP, OVERFETCH = 60, 60, 3, 50, 10, 8
 #: Queries that dense search multiplies with an Arrow batch at a time.
 STEP = 512
+#: Vectors of a block where all pairs are compared.
+BLOCK = 4096
 HIT = ["query_id", "chunk_id", "act_id", "score", "rank"]
 
 
@@ -166,14 +167,53 @@ def random_control(queries: DataFrame, chunks: DataFrame, k: int, seed: int) ->
     return ranked(rows.withColumn("h", h), k, [F.col("h"), F.col("chunk_id")]).select("query_id", "chunk_id", "act_id", F.lit(0.0).alias("score"), "rank")
 
 
-def pairwise_cosines(vectors: DataFrame, dims: int, digits: int = 9) -> DataFrame:
-    """(a, b, full, cut) over all pairs a < b of a small set: cosines of whole and truncated vectors."""
-    x = vectors.select(F.col("id").alias("a"), F.col("v").alias("x"))
-    y = vectors.select(F.col("id").alias("b"), F.col("v").alias("y"))
-    rows = x.join(y, F.col("a") < F.col("b"))
-    return rows.select("a", "b", F.round(cosine(F.col("x"), F.col("y")), digits).alias("full"), F.round(cosine(F.slice("x", 1, dims), F.slice("y", 1, dims)), digits).alias("cut"))
+def truncation_geometry(vectors: DataFrame, dims: int, digits: int = 9) -> DataFrame:
+    """(pairs, pearson, mean_shift) of cosines before and after truncation, over all pairs of vectors(id, v).
 
-
-def truncation_geometry(vectors: DataFrame, dims: int) -> DataFrame:
-    """(pairs, pearson, mean_shift) of cosines before and after truncation."""
-    return pairwise_cosines(vectors, dims).agg(F.count("*").alias("pairs"), F.round(F.corr("full", "cut"), 6).alias("pearson"), F.round(F.avg(F.abs(F.col("full") - F.col("cut"))), 6).alias("mean_shift"))
+    Vectors are dealt to blocks; a tile of two blocks returns its count, means and centred moments, no pairs.
+    """
+    size = vectors.agg(F.count("*").alias("size"))
+    rows = (
+        vectors.select("id", F.col("v").cast("array<double>").alias("v"))
+        .crossJoin(F.broadcast(size))
+        .withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.lit(6), F.ceil(F.col("size") / STEP))).cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "v")
+    )
+    names = ["n", "f", "c", "ff", "cc", "fc", "shift"]
+    moments = "n long, " + ", ".join(f"{x} double" for x in names[1:])
+
+    def merged(parts: list) -> list:
+        """Moments of all parts: means weighted, centred sums moved to the common means."""
+        n, f, c, ff, cc, fc, shift = np.array(parts, float).reshape(-1, 7).T
+        total = max(1.0, n.sum())
+        mf, mc = (n * f).sum() / total, (n * c).sum() / total
+        return [sum(int(x[0]) for x in parts), mf, mc, (ff + n * (f - mf) ** 2).sum(), (cc + n * (c - mc) ** 2).sum(), (fc + n * (f - mf) * (c - mc)).sum(), shift.sum()]
+
+    def as_table(row: list) -> pa.Table:
+        return pa.table({x: pa.array([y], pa.int64() if x == "n" else pa.float64()) for x, y in zip(names, row, strict=True)})
+
+    def tile(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        i, j, mine, ids = (t.column(x).to_numpy() for x in ("i", "j", "mine", "id"))
+        v = t.column("v").chunk(0).flatten().to_numpy().reshape(t.num_rows, -1)
+        unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (v, v[:, :dims])]
+        one = i[0] == j[0]
+        left = np.arange(t.num_rows) if one else np.flatnonzero(mine == i[0])
+        right = left if one else np.flatnonzero(mine == j[0])
+        parts = []
+        for p in range(0, len(left), STEP):
+            some = left[p : p + STEP]
+            pair = ids[some][:, None] < ids[right] if one else ids[some][:, None] != ids[right]
+            f, c = (np.round(x[some] @ x[right].T, digits)[pair] for x in unit)
+            if len(f):
+                df, dc = f - f.mean(), c - c.mean()
+                parts.append([len(f), f.mean(), c.mean(), df @ df, dc @ dc, df @ dc, np.abs(f - c).sum()])
+        return as_table(merged(parts))
+
+    tiles = rows.groupBy("i", "j").applyInArrow(tile, moments)
+    whole = tiles.groupBy().applyInArrow(lambda t: as_table(merged(list(zip(*(t.column(x).to_pylist() for x in names), strict=True)))), moments)
+    pairs = F.coalesce(F.max("n"), F.lit(0)).alias("pairs")  # one row, or none
+    pearson = F.max("fc") / F.nullif(F.sqrt(F.max("ff") * F.max("cc")), F.lit(0.0))
+    return whole.agg(pairs, F.round(pearson, 6).alias("pearson"), F.round(F.max("shift") / F.nullif(F.max("n"), F.lit(0)), 6).alias("mean_shift"))

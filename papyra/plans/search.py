@@ -201,6 +201,7 @@ QUERIES = {
     "json_fence": lambda s, d: table(s, d, "events").select("event_id", tx.without_fence(F.concat(F.lit("```json\n"), F.coalesce("props", F.lit("{}")), F.lit("\n```"))).alias("json")),
     "fixed_pieces": lambda s, d: embedding.fixed_pieces(docs(s, d)),
     "mrl_geometry": lambda s, d: retrieval.truncation_geometry(table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), 16),
+    "mrl_geometry_all": lambda s, d: retrieval.truncation_geometry(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 16),
 }
 
 _V = views(docs=DOCS, basket=BASKET)

@@ -132,3 +132,20 @@ def test_dense_search_reads_queries_in_blocks(spark, monkeypatch):
     for size in (7, 29, 30, 100):
         got = [(r.query_id, r.chunk_id, r.rank) for r in retrieval.dense(queries, chunks, 4, max_queries=size).collect()]
         assert len(got) == 120 and set(got) == want
+
+
+def test_truncation_geometry_of_all_vectors(spark, monkeypatch):
+    import numpy as np
+
+    from papyra.operators import retrieval
+    from papyra.plans import registry
+
+    monkeypatch.setattr(retrieval, "STEP", 64)
+    monkeypatch.setattr(retrieval, "BLOCK", 30)
+    sf = "/root/testdata/sf0.001"
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()], float)
+    at = np.triu_indices(len(x), 1)
+    f, c = (np.round((u := y / np.linalg.norm(y, axis=1, keepdims=True)) @ u.T, 9)[at] for y in (x, x[:, :16]))
+    (r,) = registry.QUERIES["mrl_geometry_all"](spark, sf).collect()
+    assert r.pairs == len(f) > 10_000
+    assert abs(r.pearson - np.corrcoef(f, c)[0, 1]) < 2e-6 and abs(r.mean_shift - np.abs(f - c).mean()) < 2e-6
