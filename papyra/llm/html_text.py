@@ -139,10 +139,8 @@ def vectors(seq: list[Block]) -> np.ndarray:
                 row[2 * tags + _CLASS_AT[c]] = 1
         words = b.text.lower().split()
         base = 2 * tags + len(CLASS_WORDS)
-        for w in words[:24]:  # the vector's words; sizes and the output use them all
-            h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-            row[base + h % WORD_DIMS] += 1 if h >> 31 else -1
-        row[base : base + WORD_DIMS] /= math.sqrt(min(24, len(words)) or 1)
+        h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words))
+        row[base : base + WORD_DIMS] = np.bincount(h % WORD_DIMS, np.where(h >> 31, 1.0, -1.0), WORD_DIMS) / math.sqrt(len(words) or 1)
         size = len(b.text)
         row[-SIZES:] = (
             math.log1p(size) / 8, math.log1p(len(words)) / 6, min(1.0, b.linked / size), k / n, done / total, size / total,

@@ -370,6 +370,19 @@ def test_spot_signatures_are_chains():
     assert (spotsigs.signatures(["the quick brown"])[0] & 0xFFFFFFFF) in (one & np.uint64(0xFFFFFFFF))
 
 
+def test_block_vectors_read_all_words():
+    start = "one two three four five six " * 5
+    a, b = (html_text.vectors(html_text.blocks(f"<p>{start}{end}</p>")) for end in ("seven", "eight"))  # of equal length
+    assert (a != b).any()
+    words = (start + "seven").split()
+    want = np.zeros(html_text.WORD_DIMS)
+    for w in words:
+        h = zlib.crc32(w.encode())
+        want[h % html_text.WORD_DIMS] += 1 if h >> 31 else -1
+    at = a.shape[1] - html_text.SIZES - html_text.WORD_DIMS
+    assert np.allclose(a[0, at : at + html_text.WORD_DIMS], want / math.sqrt(len(words)))
+
+
 def test_pages_on_unseen_layouts(spark):
     pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
     model = html_text.train(pages, n_pages=500)
