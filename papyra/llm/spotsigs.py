@@ -1,8 +1,8 @@
 """SpotSigs document fingerprints: chains of content words that follow common-word anchors.
 
 Each common word (anchor) is followed by the next `chain` words that are not common; anchor and chain
-make one signature. A fingerprint is the sorted set of a text's 32-bit signatures; two are compared by
-Jaccard, pruned by the sizes of the sets where a threshold is given.
+make one signature. A fingerprint is the sorted set of a text's 32-bit signatures; a text's is compared by
+Jaccard with its edited text's and one neighbour's. There is no join over the corpus and no pruning by size.
 """
 
 from __future__ import annotations
