@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,27 @@ from pyspark.sql import functions as F
 SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
 
 
+_held: dict[str, object] = {}
+
+
+def held(operator: str, make: Callable[[], object] = dict) -> object:
+    """What a worker keeps from batch to batch for one operator (tables of bounded size).
+
+    Spark reuses workers, so another operator's state goes when it is asked for: a worker never holds more
+    than one, and the sizes of a pipeline's stages do not add up.
+    """
+    if operator not in _held:
+        if _held:
+            _held.clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # no glibc
+                pass
+        _held[operator] = make()
+    return _held[operator]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a new local one only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -19,10 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import remainder, slices, texts
+from .common import held, remainder, slices, texts
 
 ORDERS = (1, 2, 3)
-GRAM_BITS = 44
+#: An n-gram is a number: its code points, CODE_BITS each, the first highest, zeros after a short one. Numbers
+#: order n-grams as texts are ordered.
+CODE_BITS = 21
+#: (language, n-gram) counts that a partition holds before it sends them on.
+HELD = 400_000
 UNKNOWN = "und"
 
 
@@ -32,7 +36,7 @@ def _letters() -> np.ndarray:
 
 
 def gram_counts(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, n-gram, count) of a batch, sorted by document and n-gram; n-grams as 44-bit numbers."""
+    """(document, n-gram, count) of a batch, sorted by document and n-gram."""
     codes = np.frombuffer("\0".join([*(x.lower() for x in batch), ""]).encode("utf-32-le", "surrogatepass"), "<u4")
     ends = codes == 0
     # A text's own NUL would shift the documents; such texts are cleaned first (rare).
@@ -43,21 +47,32 @@ def gram_counts(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.empty(len(codes), bool)
     first[0], first[1:] = True, ends[:-1]
     keep = letter | np.append(True, letter[:-1]) | first
-    code, doc = np.where(letter, codes, 32)[keep].astype(np.uint64), doc[keep].astype(np.uint64)
+    code, doc = np.where(letter, codes, 32)[keep], doc[keep].astype(np.uint64)
+    # Within a batch its few different code points are numbered, in their order, so that sorting keys stay short.
+    known = np.unique(code)
+    number = np.zeros(int(known[-1]) + 1, np.uint64)
+    number[known] = np.arange(1, len(known) + 1)
+    code = number[code]
+    blank = number[32]
+    bits = np.uint64(int(len(known)).bit_length())
+    top = max(ORDERS)
     out = []
     for n in ORDERS:
         if len(code) < n:
             continue
-        g = np.full(len(code) - n + 1, n, np.uint64)
-        for k in range(n):
-            g = (g ^ code[k : len(code) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            g ^= g >> np.uint64(29)
-        inside = doc[: len(g)] == doc[n - 1 :]
+        g = doc[: len(code) - n + 1]
+        inside = g == doc[n - 1 :]
         if n == 1:
-            inside &= code != 32
-        out.append((doc[: len(g)][inside] << np.uint64(GRAM_BITS)) | (g[inside] >> np.uint64(64 - GRAM_BITS)))
-    keys, counts = np.unique(np.concatenate(out) if out else np.zeros(0, np.uint64), return_counts=True)
-    return (keys >> np.uint64(GRAM_BITS)).astype(np.int64), (keys & np.uint64((1 << GRAM_BITS) - 1)).astype(np.int64), counts
+            inside = inside & (code != blank)
+        for k in range(n):
+            g = g << bits | code[k : len(code) - n + 1 + k]
+        out.append(g[inside] << bits * np.uint64(top - n))
+    keys, counts = np.unique(np.concatenate(out), return_counts=True)
+    gram, part = np.zeros(len(keys), np.int64), np.uint64((1 << int(bits)) - 1)
+    known = np.append(0, known).astype(np.int64)
+    for k in range(top):
+        gram = gram << CODE_BITS | known[(keys >> bits * np.uint64(top - 1 - k) & part).astype(np.int64)]
+    return (keys >> bits * np.uint64(top)).astype(np.int64), gram, counts
 
 
 def ranked(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,28 +86,52 @@ def ranked(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, size: int) -> t
     return doc[top], gram[top], rank[top]
 
 
-def profiles(docs: DataFrame, size: int = 300, lang: str = "lang") -> DataFrame:
-    """(lang, gram, rank) of all rows with a language; one row per language and n-gram."""
+class _Counts:
+    """Counts of n-grams by language, in arrays."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, int], int] = {}
+    def __init__(self):
+        self.parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.size = 0
+
+    def add(self, name: str, gram: np.ndarray, count: np.ndarray) -> None:
+        self.parts.setdefault(name, []).append((gram, count))
+        self.size += len(gram)
+
+    def merge(self) -> None:
+        self.size = 0
+        for name, parts in self.parts.items():
+            gram, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([c for _, c in parts]), len(gram)).astype(np.int64)
+            self.parts[name] = [(gram, count)]
+            self.size += len(gram)
 
-        def out() -> pa.RecordBatch:
-            keys = list(zip(*total, strict=True)) or [(), ()]
-            return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "gram", "n"])
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        for name, [(gram, count)] in self.parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram), pa.array(count)], ["lang", "gram", "n"])
+        self.parts, self.size = {}, 0
 
+
+def profiles(docs: DataFrame, size: int = 300, lang: str = "lang") -> DataFrame:
+    """(lang, gram, rank) of all rows with a language; one row per language and n-gram, ties by n-gram.
+
+    A null or empty text adds nothing; repeated rows count each; no rows with a language, no profiles.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("langid")
+        total = _Counts()
         for b in slices(batches, "text"):
             doc, gram, count = gram_counts(texts(b.column("text")))
             names, at = np.unique(np.array(b.column("lang").to_pylist(), dtype=object), return_inverse=True)
             for k, name in enumerate(names):
                 mine = at[doc] == k
-                g, inverse = np.unique(gram[mine], return_inverse=True)
-                for x, c in zip(g.tolist(), np.bincount(inverse, count[mine], len(g)).astype(np.int64).tolist(), strict=True):
-                    total[name, x] = total.get((name, x), 0) + c
-            if len(total) > 400_000:
-                yield out()
-                total.clear()
-        yield out()
+                total.add(name, gram[mine], count[mine])
+            if total.size > 4 * HELD:
+                total.merge()
+            if total.size > HELD and all(len(x) == 1 for x in total.parts.values()):
+                yield from total.rows()
+        yield from total.rows()
 
     known = docs.where(F.col(lang).isNotNull()).select(F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     counts = known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -118,6 +157,7 @@ def identify(docs: DataFrame, profile: DataFrame, size: int = 300, max_languages
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("langid")
         names, grams, ranks = shared.value
         for b in slices(batches, "text"):
             n = b.num_rows

@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Scratch, slices, texts
+from .common import Scratch, held, slices, texts
 
-#: Pre-tokens that a worker remembers at most in each of two generations.
-REMEMBERED = 350_000
+#: Pre-tokens that a worker remembers at most in each of two generations; the letters of those remembered
+#: (a longer one is encoded anew); and how many new ones the tokenizer gets at a time.
+REMEMBERED, LONGEST, LEARNED = 350_000, 64, 8192
 #: Below this code point NFC changes nothing and lower() maps each letter by itself.
 PLAIN_END = 0x250
 
@@ -63,15 +64,15 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], table: dict[str, bytes]) -> None:
         e = self.words_only.encode(" ".join(words), add_special_tokens=False)
         of, ids = np.array(e.word_ids, np.int64), np.array(e.ids, dtype="<u4")
         starts = np.flatnonzero(np.diff(of, prepend=-1))
         if len(starts) == len(words):
             raw, ends = ids.tobytes(), np.append(starts[1:], len(ids)) * 4
-            self.table.update(zip(words, (raw[s:e] for s, e in zip((starts * 4).tolist(), ends.tolist(), strict=True)), strict=True))
+            table.update(zip(words, (raw[s:e] for s, e in zip((starts * 4).tolist(), ends.tolist(), strict=True)), strict=True))
         else:
-            self.table.update((w, self._whole(w)) for w in words)
+            table.update((w, self._whole(w)) for w in words)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         split = [None if not self.known or self.other.search(t) else self.split.findall(t.lower()) for t in batch]
@@ -83,26 +84,30 @@ class Encoder:
             known = new.intersection(self.older)
             self.table.update(zip(known, map(self.older.__getitem__, known), strict=True))
             new -= known
-        if new:
-            self._learn(list(new))
-        get = self.table.__getitem__
+        order, rare = sorted(new, key=len), {}
+        for k in range(0, len(order), LEARNED):
+            self._learn(order[k : k + LEARNED], self.table)
+        for w in reversed(order):
+            if len(w) <= LONGEST:
+                break
+            rare[w] = self.table.pop(w)
+        get = (lambda w: rare[w] if w in rare else self.table[w]) if rare else self.table.__getitem__
         return [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(batch, split, strict=True)]
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(f"packing {path}", lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
     """Pieces of each document's ids, an end id last; only documents over the capacity are cut."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
+        end, step, enc = int(end_id).to_bytes(4, "little"), 4 * capacity, encoder(tokenizer)
         for b in slices(batches, "text"):
             rows = [
                 (d, k, s // 4, len(p := raw[s : s + step]) // 4, zlib.crc32(p), p)
-                for d, ids in zip(b.column("doc_id").to_pylist(), encoder(tokenizer).encode(texts(b.column("text"))), strict=True)
+                for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode(texts(b.column("text"))), strict=True)
                 for raw in (ids + end,)
                 for k, s in enumerate(range(0, len(raw), step))
             ]

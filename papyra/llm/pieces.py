@@ -11,7 +11,6 @@ without a piece becomes its UTF-8 bytes. The result equals the library's merge o
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -23,11 +22,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import held, slices, texts
 
 BLANK = "▁"
-#: Segments that a worker remembers at most; slots of its table of token pairs (a power of two).
-REMEMBERED, PAIRS = 300_000, 1 << 21
+#: Segments that a worker remembers at most, and their letters; slots of its table of token pairs (a power of two).
+REMEMBERED, LONGEST, PAIRS = 300_000, 64, 1 << 21
 #: Characters that one suffix array holds at most, but for a longer segment.
 INDEXED = 400_000
 AT_START, UNKNOWN, NONE = -1, -2, -3
@@ -218,7 +217,9 @@ class Pieces:
                 new, size = [], 0
         if new:
             self.solve(new)
-        get = self.table.__getitem__
+        # Long segments (a text without blanks is one) are not remembered, so the table is bounded in bytes.
+        rare = {x: self.table.pop(x) for x in seen if len(x) > LONGEST}
+        get = (lambda x: rare[x] if x in rare else self.table[x]) if rare else self.table.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
     def decode(self, ids: list[bytes]) -> list[str]:
@@ -231,9 +232,8 @@ class Pieces:
         return out
 
 
-@functools.cache
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return held(f"pieces {path}", lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, texts_as_bytes
+from .common import Scratch, held, slices, texts_as_bytes
 from .graph import connected_components
 
 SEED, TILE = 42, 256
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, width: int = 4, *also: str) -> DataFrame:
     """(doc_id, fp long) and the long columns in `also` per row of docs; a null text has no words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash")
         for b in slices(batches, "text"):
             fps = np.array([fingerprint(x, width) for x in texts_as_bytes(b.column("text"))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), *(b.column(c) for c in also)], ["doc_id", "fp", *also])
@@ -137,6 +138,7 @@ def near_links(fps: DataFrame, max_bits: int = 4, n_pivots: int = 24) -> DataFra
     refs = pivots(n_pivots)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash")
         rest: pa.Table | None = None
 
         def out(t: pa.Table) -> pa.RecordBatch:

@@ -8,7 +8,6 @@ Jaccard with its edited text's and one neighbour's. There is no join over the co
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain as chained, pairwise
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallel, slices, texts
+from .common import held, parallel, slices, texts
 
 # Anchors: frequent function words of English, French, German and Spanish.
 ANCHORS = frozenset(
@@ -29,7 +28,8 @@ ANCHORS = frozenset(
     "al como con del el es está la las lo los no para por que se su un una y".split()
 )
 PUNCTUATION = "".join(c for c in map(chr, range(0x2100)) if not c.isalnum() and not c.isspace())
-REMEMBERED = 300_000
+#: Words that a worker remembers at most, and their letters.
+REMEMBERED, LONGEST = 300_000, 64
 
 
 class _Words(dict):
@@ -38,21 +38,17 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         core = word.strip(PUNCTUATION)
         h = (xxhash.xxh64_intdigest(core.encode("utf-8", "surrogatepass")) & ~1 | (core in ANCHORS) or 2) if core else 0
-        self[word] = h
+        if len(word) <= LONGEST:
+            self[word] = h
         return h
 
 
-@functools.cache
-def _words() -> _Words:
-    return _Words()
-
-
 def signatures(batch: list[str], chain: int = 2) -> np.ndarray:
     """Sorted (document << 32 | signature) of a batch, each once.
 
     A text without a complete chain has one signature, the hash of the whole text; so has an empty one.
     """
-    table = _words()
+    table = held("spotsigs", _Words)
     if len(table) > REMEMBERED:
         table.clear()
     split = [x.lower().split() for x in batch]
