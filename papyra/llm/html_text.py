@@ -16,7 +16,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,15 @@ SAMPLE_PAGES, TRAIN_PAGES, EPOCHS, HIDDEN = 200, 900, 10, 24
 
 #: Tags whose content is no text.
 RAW = "script|style|noscript|template|iframe|svg|math|object|textarea|select|title"
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+#: A tag's attributes. A quoted value may hold <, > and the other quote; one that does not close within so many
+#: characters opens no quote, and the tag ends at its first >.
+QUOTED = 4096
+_QUOTES = rf"(?:[^>\"']|\"[^\"]{{0,{QUOTED}}}\"|'[^']{{0,{QUOTED}}}')*+"
+MARKUP = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:{_QUOTES}|[^>]*+)(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)(?:({_QUOTES})(?:>|\Z)|([^>]*)(?:>|\Z))|<[!?/][^>]*(?:>|\Z)",
+    re.DOTALL | re.IGNORECASE,
+)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr button picture source link meta base".split())
@@ -46,23 +54,64 @@ CLASS_WORDS = (
 ).split()
 _TAG_AT = {t: k for k, t in enumerate(PATH_TAGS)}
 _CLASS_AT = {t: k for k, t in enumerate(CLASS_WORDS)}
-WORD_DIMS, SIZES = 16, 9
+WORD_DIMS, SIZES = 32, 9
 DIMS = 2 * len(PATH_TAGS) + len(CLASS_WORDS) + WORD_DIMS + SIZES
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
-    classes: frozenset[str]
+    """A run of text, and what is open around it: PATH_TAGS then CLASS_WORDS, the innermost tag, the depth."""
+
+    around: bytes
+    inner: int
+    depth: int
     text: str
     linked: int
-    raw: list[str] = field(default_factory=list, repr=False)
+
+
+class _Open:
+    """The open elements, with running counts, so that a block costs the same at every depth."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[int, ...]]] = []
+        self.names: dict[str, int] = {}
+        self.counts = [0] * (len(PATH_TAGS) + len(CLASS_WORDS))
+        self.around = bytes(len(self.counts))
+
+    def push(self, name: str, words: list[str]) -> None:
+        at = [_TAG_AT[name]] if name in _TAG_AT else []
+        at += {len(PATH_TAGS) + _CLASS_AT[w] for w in words if w in _CLASS_AT}
+        self.stack.append((name, tuple(at)))
+        self.names[name] = self.names.get(name, 0) + 1
+        self._add(at, 1)
+
+    def pop(self) -> None:
+        name, at = self.stack.pop()
+        self.names[name] -= 1
+        self._add(at, -1)
+
+    def _add(self, at: Iterable[int], n: int) -> None:
+        for k in at:
+            self.counts[k] += n
+            if self.counts[k] == (n > 0):  # now there, or now gone
+                self.around = self.around[:k] + bytes([n > 0]) + self.around[k + 1 :]
+
+    def close(self, name: str) -> None:
+        """Up to the innermost element of that name; a tag that closes nothing is passed over."""
+        while self.names.get(name) and self.stack:
+            found = self.stack[-1][0] == name
+            self.pop()
+            if found:
+                return
+
+
+HEADINGS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks that hold text, in order; character references decoded, white space single."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    open_ = _Open()
     parts: list[str] = []
     linked = in_link = 0
     at = 0
@@ -75,7 +124,8 @@ def blocks(page: str) -> list[Block]:
             text = entities.unescape(text)
         text = " ".join(text.split())
         if text:
-            out.append(Block(tuple(t for t, _ in stack), frozenset().union(*(c for _, c in stack)) if stack else frozenset(), text, linked))
+            inner = _TAG_AT.get(open_.stack[-1][0], -1) if open_.stack else -1
+            out.append(Block(open_.around, inner, len(open_.stack), text, linked))
         linked = 0
 
     def text(piece: str) -> None:
@@ -104,18 +154,15 @@ def blocks(page: str) -> list[Block]:
         flush()
         in_link = 0
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            open_.close(name)
             continue
         if name in VOID:
             continue
         closes = CLOSES.get(name, {"p"})
-        while stack and (stack[-1][0] in closes or (stack[-1][0] not in CONTAINERS and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and name in ("p", "h1", "h2", "h3", "h4", "h5", "h6"))):
-            stack.pop()
-        found = " ".join(x for y in NAMES.findall(m[4]) for x in y).lower() if m[4] else ""
-        stack.append((name, frozenset(WORD.findall(found))))
+        while open_.stack and (open_.stack[-1][0] in closes or (open_.stack[-1][0] in HEADINGS and name in HEADINGS)):
+            open_.pop()
+        attributes = m[4] or m[5]
+        open_.push(name, WORD.findall(" ".join(x for y in NAMES.findall(attributes) for x in y).lower()) if attributes else [])
     text(page[at:])
     flush()
     return out
@@ -126,25 +173,20 @@ def vectors(seq: list[Block]) -> np.ndarray:
     out = np.zeros((len(seq), DIMS), np.float32)
     tags, n = len(PATH_TAGS), max(1, len(seq) - 1)
     total = sum(len(b.text) for b in seq) or 1
-    done = 0
+    done, base = 0, 2 * tags + len(CLASS_WORDS)
     for k, b in enumerate(seq):
         row = out[k]
-        for t in b.path:
-            if t in _TAG_AT:
-                row[_TAG_AT[t]] = 1
-        if b.path and b.path[-1] in _TAG_AT:
-            row[tags + _TAG_AT[b.path[-1]]] = 1
-        for c in b.classes:
-            if c in _CLASS_AT:
-                row[2 * tags + _CLASS_AT[c]] = 1
+        around = np.frombuffer(b.around, np.uint8)
+        row[:tags], row[2 * tags : base] = around[:tags], around[tags:]
+        if b.inner >= 0:
+            row[tags + b.inner] = 1
         words = b.text.lower().split()
-        base = 2 * tags + len(CLASS_WORDS)
         h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words))
         row[base : base + WORD_DIMS] = np.bincount(h % WORD_DIMS, np.where(h >> 31, 1.0, -1.0), WORD_DIMS) / math.sqrt(len(words) or 1)
         size = len(b.text)
         row[-SIZES:] = (
             math.log1p(size) / 8, math.log1p(len(words)) / 6, min(1.0, b.linked / size), k / n, done / total, size / total,
-            sum(map(b.text.count, ".,;:!?")) / size * 10, b.text[-1] in ".!?…", len(b.path) / 10,
+            sum(map(b.text.count, ".,;:!?")) / size * 10, b.text[-1] in ".!?…", min(b.depth, 40) / 10,
         )
         done += size
     return out
@@ -255,88 +297,109 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 MARK = "\x02"  # starts each block of a composed page that is main text
+#: Words that pages use around their text whatever it is about; they fill half of the composed pages' other parts.
+AROUND = {
+    "menu": "Home|About us|Contact|News|Products|Services|Blog|Archive|Search|Log in|Sign up|Help|Sitemap|Start|Über uns|Kontakt|Accueil|Actualités|Inicio|Noticias",
+    "notice": "We use cookies to improve this site.|Please accept our terms of use.|This site uses cookies and similar techniques.|Your browser is out of date.|Wir verwenden Cookies.|Ce site utilise des cookies.|Este sitio utiliza cookies.",
+    "advert": "Advertisement|Sponsored|Buy now and save|Special offer ends soon|Limited time deal|Anzeige|Publicité|Publicidad|Free shipping on all orders",
+    "form": "Your email address|Subscribe to our newsletter|Search this site|Name|Password|Send|Submit|Remember me|Message",
+    "side": "Related articles|Most read|Popular posts|Recent posts|Tags|Categories|Share this page|Follow us|You may also like|Read more",
+    "comment": "Great post, thanks!|I do not agree with this.|Reply|Posted by a reader|2 days ago|Thanks for sharing|Report this comment",
+    "foot": "All rights reserved.|Privacy policy|Terms of use|Imprint|Copyright|Powered by|Impressum|Mentions légales|Aviso legal|Back to top",
+}
+_AROUND = {k: v.split("|") for k, v in AROUND.items()}
+_NAMED = {
+    "menu": "menu nav navigation top-menu main-menu navbar breadcrumbs site-nav pagination", "notice": "notice alert cookie-notice cookie-consent message banner popup",
+    "advert": "ads advert ad-slot ad-banner sponsored promo", "form": "search login newsletter-form signup", "side": "sidebar side related widget right-rail recommended",
+    "comments": "comments comment-list discussion reader-comments responses", "head": "header masthead site-header top", "foot": "footer site-footer copyright bottom",
+    "main": "content article post entry-content story-body article-text main body", "page": "page wrapper container",
+}
 
 
 def compose(rng: random.Random, lines: list[str]) -> str:
-    """A page of a random layout; the blocks of its main text start with MARK."""
-    line = lambda: entities.escape(rng.choice(lines), quote=False)
-    short = lambda n=5: " ".join(line().split()[: rng.randint(1, n)]) or "x"
-    pick = rng.choice
-
-    def attr(*names: str) -> str:
-        return f' {pick(["class", "class", "id"])}="{pick(names)}"'
-
-    def menu() -> str:
-        items = [f'<li><a href="/{k}">{short(3)}</a></li>' for k in range(rng.randint(3, 9))]
-        body = f"<ul>{''.join(items)}</ul>"
-        if rng.random() < 0.2:
-            body = " | ".join(f'<a href="/{k}">{short(2)}</a>' for k in range(5))
-        return pick([f"<nav>{body}</nav>", f"<nav{attr('nav', 'main-menu', 'navbar')}>{body}</nav>", f"<div{attr('menu', 'nav', 'navigation', 'top-menu', 'breadcrumbs')}>{body}</div>"])
-
-    def advert() -> str:
-        return f"<div{attr('ad', 'ads', 'advert', 'ad-banner', 'sponsored', 'promo')}>{pick(['', '<p>'])}{line()}</div>"
-
-    def notice() -> str:
-        text = pick([line(), "We use cookies to improve this site. " + short(), "Please accept our terms. " + line(), "Subscribe to our newsletter"])
-        return f"<div{attr('notice', 'cookie-notice', 'alert', 'cookie-consent', 'banner', 'message')}><p>{text}</p>{pick(['', '<button>OK</button>'])}</div>"
+    """A page of a random layout; the blocks of its main text start with MARK.
 
-    def form() -> str:
-        return f'<form action="/s"{pick(["", attr("search", "login", "newsletter-form")])}><label>{short(3)}</label><input name="q">{pick(["", f"<p>{line()}</p>"])}<button>{short(2)}</button></form>'
-
-    def sidebar() -> str:
-        inner = f"<h3>{short(4)}</h3>" + pick([f"<ul>{''.join(f'<li><a href=#>{short(8)}</a></li>' for _ in range(4))}</ul>", f"<p>{line()}</p>", f"<p>{line()}</p><p>{line()}</p>"])
-        return pick([f"<aside>{inner}</aside>", f"<aside{attr('sidebar', 'related')}>{inner}</aside>", f"<div{attr('sidebar', 'side', 'related', 'widget', 'right-rail')}>{inner}</div>"])
+    A page is drawn as a tree: parts in random order and depth, each by its element (nav, aside, footer, ...) or by a
+    class name or by neither; end tags of paragraphs, items and inline elements are left out at random, as
+    authors do, and inline elements, comments and scripts stand anywhere.
+    """
+    pick, chance = rng.choice, lambda p: rng.random() < p
+    line = lambda: entities.escape(pick(lines), quote=False)
+    short = lambda n=5: " ".join(line().split()[: rng.randint(1, n)]) or "x"
+    sloppy = pick([0.0, 0.0, 0.15, 0.6])  # how often this page's author leaves an end tag out
+    spaced = pick(["", "", "\n", "\n  "])
+
+    def attr(kind: str) -> str:
+        return f' {pick(["class", "class", "id"])}={pick(chr(34) + chr(39))}{pick(_NAMED[kind].split())}'
+
+    def el(name: str, inner: str, kind: str | None = None) -> str:
+        named = attr(kind) if kind else ""
+        start = f"<{name}{named}{named[named.index('=') + 1] if named else ''}>"
+        ends = name in ("p", "li", "dd", "dt", "td", "b", "i", "em", "span") and chance(sloppy)
+        return spaced + start + inner + ("" if ends else f"</{name}>")
+
+    def inline(text: str) -> str:
+        """text with some of its words in inline elements, or a line break after one."""
+        words = text.split(" ")
+        for _ in range(pick([0, 0, 0, 1, 1, 2])):
+            k = rng.randrange(len(words))
+            words[k] = pick([lambda w: el(pick(["b", "i", "em", "strong", "span", "code"]), w), lambda w: f'<a href="/{k}">{w}</a>', lambda w: w + pick(["<br>", "<br/>", "<img src=x.png alt='a > b'>", "<!-- x -->"])])(words[k])
+        return " ".join(words)
+
+    def said(kind: str, n: int = 6) -> str:
+        return pick([lambda: entities.escape(pick(_AROUND[kind])), lambda: short(n), line])() if chance(0.8) else entities.escape(pick(_AROUND[kind])) + " " + short(n)
+
+    def wrapped(inner: str, element: str, kind: str) -> str:
+        """By the element, by a class name, or by both."""
+        return pick([lambda: el(element, inner), lambda: el(element, inner, kind), lambda: el("div", inner, kind), lambda: el("section", inner, kind)])()
+
+    def items(kind: str, n: int) -> str:
+        links = [pick([f'<a href="#{k}">{said(kind, 3)}</a>', f"<a href='/{k}'>{short(3)}</a>", said(kind, 3)]) for k in range(n)]
+        return pick([lambda: el("ul", "".join(el("li", x) for x in links)), lambda: pick([" | ", " &middot; ", " "]).join(links), lambda: "".join(el("div", x) for x in links), lambda: el("ol", "".join(el("li", x) for x in links))])()
+
+    def some(kind: str, n: int = 3) -> str:
+        return "".join(pick([lambda: el("p", inline(said(kind))), lambda: el("div", said(kind)), lambda: el(pick(["h2", "h3", "h4"]), said(kind, 4)), lambda: said(kind), lambda: items(kind, 3)])() for _ in range(rng.randint(1, n)))
+
+    menu = lambda: wrapped(items("menu", rng.randint(2, 9)), "nav", "menu")
+    notice = lambda: el(pick(["div", "div", "section", "aside"]), some("notice", 2) + pick(["", "<button>OK</button>"]), "notice")
+    advert = lambda: el(pick(["div", "div", "aside", "section"]), some("advert", 2), "advert")
+    form = lambda: el("form", some("form", 3) + f"<input name=q><button>{said('form', 2)}</button>", pick([None, "form"]))
+    side = lambda: wrapped(some("side", 4), "aside", "side")
+    head = lambda: wrapped(pick([el("h1", said("menu", 4)), "", el("div", said("menu", 4))]) + pick([el("p", said("menu", 9)), "", items("menu", 4)]), "header", "head")
+    foot = lambda: wrapped(pick(["&copy; ", "", "Copyright "]) + some("foot", 3), "footer", "foot")
 
     def comments() -> str:
-        one = lambda: pick([f"<div{attr('comment')}><b>{short(2)}</b> <p>{line()}</p></div>", f"<li{attr('comment')}><p>{line()}</p></li>", f"<article{attr('comment')}><p>{line()}</p></article>", f"<p>{line()}</p>"])
-        inner = pick(["", "<h2>Comments</h2>", f"<h3>{short(3)}</h3>"]) + "".join(one() for _ in range(rng.randint(1, 5)))
-        return pick([f"<div{attr('comments', 'comment-list', 'discussion', 'reader-comments')}>{inner}</div>", f"<section{attr('comments', 'comments-area', 'responses')}>{inner}</section>"])
-
-    def header() -> str:
-        inner = pick([f"<h1>{short(4)}</h1><p>{short(8)}</p>", f'<a href="/">{short(3)}</a>', f"<div>{short(3)}</div>", f"<p>{line()}</p>"])
-        return pick([f"<header>{inner}</header>", f"<div{attr('header', 'masthead', 'site-header')}>{inner}</div>", f"<header{attr('header', 'top')}>{inner}{menu()}</header>"])
-
-    def footer() -> str:
-        inner = pick([f"&copy; {short(3)} &middot; {line()}", f"<p>{line()}</p>", f"<p>Copyright {short(4)}</p><ul><li><a href=#>{short(2)}</a></li><li><a href=#>{short(2)}</a></li></ul>", line()])
-        return pick([f"<footer>{inner}</footer>", f"<footer>{inner}</footer>", f"<div{attr('footer', 'site-footer', 'copyright')}>{inner}</div>"])
-
-    def main() -> str:
-        parts = []
-        if rng.random() < 0.85:
-            n = pick([1, 1, 2])
-            parts.append(f"<h{n}>{MARK}{pick([short(9), line()])}</h{n}>")
+        one = lambda: el(pick(["div", "li", "article", "p", "section"]), pick(["", el("b", short(2))]) + pick([el("p", inline(said("comment"))), said("comment"), el("div", line())]), pick([None, "comments"]))
+        return wrapped(pick(["", el("h2", "Comments"), el("h3", short(3))]) + "".join(one() for _ in range(rng.randint(1, 5))), "section", "comments") if chance(0.8) else el("div", "".join(one() for _ in range(3)), "comments")
+
+    def body() -> str:
+        """The main text: headings, paragraphs, lists, quotes, tables; adverts and notices may stand within."""
+        parts = [el(pick(["h1", "h1", "h2"]), MARK + pick([lambda: short(9), line])())] if chance(0.85) else []
         for _ in range(pick([1, 1, 2, 3, 4, 6, 9, 14, 25])):
-            kind = rng.random()
-            text = MARK + line()
-            if kind < 0.62:
-                parts.append(f"<p>{text}</p>")
-            elif kind < 0.77:
-                parts.append(f"<p><b>{text}<br>")
-            elif kind < 0.82:
-                parts.append(f"<h{pick([2, 3])}>{MARK}{short(6)}</h2>")
-            elif kind < 0.87:
-                parts.append("<ul>" + "".join(f"<li>{MARK}{short(12)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>")
-            elif kind < 0.90:
-                parts.append(f"<blockquote>{text}</blockquote>")
-            elif kind < 0.93:
-                parts.append(f'<p>{text} <a href="/x">{short(3)}</a> {short()}</p>')
-            elif kind < 0.95:
-                parts.append(f"<pre>{text}</pre>")
-            elif kind < 0.97:
-                parts.append(advert())
-            else:
-                parts.append(f"<div>{text}</div>")
+            parts.append(
+                pick(
+                    [lambda: el("p", MARK + inline(line()))] * 14
+                    + [lambda: el("div", MARK + inline(line())), lambda: el(pick(["h2", "h3"]), MARK + short(6)), lambda: el("blockquote", MARK + line()), lambda: el("pre", MARK + line())]
+                    + [lambda: el(pick(["ul", "ol"]), "".join(el("li", MARK + inline(short(12))) for _ in range(rng.randint(2, 4)))), lambda: el("table", "".join(el("tr", el("td", MARK + short()) + el("td", MARK + short())) for _ in range(2)))]
+                    + [advert] + [lambda: pick([notice, side, form])()]
+                )()
+            )
         inner = "".join(parts)
-        return pick([f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f"<article{attr('post', 'entry', 'story')}>{inner}</article>", f"<div{attr('content', 'article', 'post', 'entry-content', 'main', 'story-body', 'article-text')}>{inner}</div>", f"<section{attr('content', 'article')}>{inner}</section>", f"<div>{inner}</div>"])
-
-    before = [f() for f in (header, menu, advert, notice, form, sidebar) if rng.random() < (0.6 if f is menu else 0.28)]
-    after = [f() for f in (comments, sidebar, form, notice, advert, menu) if rng.random() < (0.35 if f is comments else 0.2)]
+        return pick(
+            [lambda: el("article", inner)] * 3
+            + [lambda: el("main", inner), lambda: el("main", el("article", inner)), lambda: el("article", inner, "main"), lambda: el("section", inner, "main"), lambda: el("div", inner)]
+            + [lambda: el("div", inner, "main")] * 3
+        )()
+
+    before = [f() for f in (head, menu, advert, notice, form, side) if chance(0.6 if f is menu else 0.28)]
+    after = [f() for f in (comments, side, form, notice, advert, menu) if chance(0.35 if f is comments else 0.2)]
     rng.shuffle(before)
     rng.shuffle(after)
-    body = "".join(before) + (main() if rng.random() < 0.98 else "") + "".join(after) + (footer() if rng.random() < 0.85 else "")
-    if rng.random() < 0.2:
-        body = f"<div{attr('page', 'wrapper', 'container')}>{body}</div>"
-    return f"<!DOCTYPE html><html><head><title>{short(8)}</title><style>p{{}}</style><script>var t = '</p>';</script></head><body>{body}" + pick(["</body></html>", ""])
+    inner = "".join(before) + (body() if chance(0.98) else "") + "".join(after) + (foot() if chance(0.85) else "")
+    for _ in range(pick([0, 0, 0, 1, 2])):
+        inner = el("div", inner, pick([None, "page"]))
+    junk = pick(["", f"<script>if (a < b) {{ write('{short(3)}') }}</script>", f"<style>.{short(1)[:3]} {{ color: red }}</style>", "<meta charset=utf-8>", '<link rel="x" href="y">'])
+    return pick(["<!DOCTYPE html>", ""]) + f"<html><head><title>{short(8)}</title>{junk}</head><body>{inner}{junk}" + pick(["</body></html>", ""])
 
 
 def train(sample: list[str], seed: int = 3, n_pages: int = TRAIN_PAGES) -> Labeller:
