@@ -29,6 +29,8 @@ from .common import Scratch, held, slices, texts
 REMEMBERED, LONGEST, LEARNED = 350_000, 64, 8192
 #: Below this code point NFC changes nothing and lower() maps each letter by itself.
 PLAIN_END = 0x250
+#: White space of Unicode, at which every pre-token ends; what a key of a word with other letters begins with.
+WHITE, MARK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), " "
 
 
 @functools.cache
@@ -74,8 +76,20 @@ class Encoder:
         else:
             table.update((w, self._whole(w)) for w in words)
 
+    def _pretokens(self, text: str) -> list[str]:
+        """The table's keys of a text: pre-tokens; of a word with other letters MARK (in no pre-token) and the word."""
+        if not self.other.search(text):
+            return self.split.findall(text.lower())
+        out: list[str] = []
+        for word in WHITE.split(text):  # no pre-token crosses white space
+            if self.other.search(word):
+                out.append(MARK + word)
+            else:
+                out += self.split.findall(word.lower())
+        return out
+
     def encode(self, batch: list[str]) -> list[bytes]:
-        split = [None if not self.known or self.other.search(t) else self.split.findall(t.lower()) for t in batch]
+        split = [self._pretokens(t) if self.known else None for t in batch]
         seen = set().union(*(x for x in split if x))
         if len(self.table) + len(seen) > REMEMBERED:
             self.older, self.table = self.table, {}
@@ -85,8 +99,10 @@ class Encoder:
             self.table.update(zip(known, map(self.older.__getitem__, known), strict=True))
             new -= known
         order, rare = sorted(new, key=len), {}
-        for k in range(0, len(order), LEARNED):
-            self._learn(order[k : k + LEARNED], self.table)
+        plain = [w for w in order if w[0] != MARK]
+        for k in range(0, len(plain), LEARNED):
+            self._learn(plain[k : k + LEARNED], self.table)
+        self.table.update((w, self._whole(w[1:])) for w in order if w[0] == MARK)
         for w in reversed(order):
             if len(w) <= LONGEST:
                 break
