@@ -39,10 +39,22 @@ def held(operator: str, make: Callable[[], object] = dict) -> object:
     return _held[operator]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a new local one only where that is unset."""
+    """The folder named in spark.checkpoint.dir. Where that is unset a new local one, for a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="papyra-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
@@ -113,7 +125,8 @@ def texts(column: pa.Array) -> list[str]:
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as an empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % modulus
+    as_text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(as_text, F.lit("")).cast("binary")) % modulus
 
 
 def parallel(spark: SparkSession) -> int:

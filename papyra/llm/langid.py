@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from . import sql
 from .common import held, remainder, slices, texts
 
 ORDERS = (1, 2, 3)
@@ -180,9 +181,45 @@ def identify(docs: DataFrame, profile: DataFrame, size: int = 300, max_languages
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+def least_score(docs: DataFrame, profile: DataFrame, rows: int = 5000, quantile: float = 0.001, share: float = 0.8, most: float = 0.3) -> float:
+    """What scores less is explained by no profile: `share` of the score that all but the quantile of docs' rows
+    with a language reach, by about `rows` of them (drawn by the hash of their ids, in place), and `most` at
+    most. No rows: 0."""
+    known = docs.where(F.col("lang").isNotNull())
+    n = known.count()
+    drawn = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, rows / max(1, n)) * (1 << 30)))
+    few = known.where(drawn).select("doc_id", F.col("text").cast("string").alias("text"))
+    scores = identify(few, profile).where(F.col("lang_pred") != UNKNOWN).agg(F.percentile("score", quantile)).first()[0]
+    return min(most, share * scores) if scores is not None else 0.0
+
+
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", remainder("doc_id", 3) == 1)
     learned = profiles(docs.where(~F.col("held_out")))
     out = identify(docs.select("doc_id", "text", "held_out"), learned)
     return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+#: Profiles and distances over n-grams as texts.
+OP10_SQL = f"""
+with s as (
+  select doc_id, lang, {sql.crc32("doc_id::varchar")} % 3 = 1 as held_out, regexp_extract_all(regexp_replace(lower(coalesce(text, '')) || ' ', '\\P{{L}}+', ' ', 'g'), '.') as c from documents
+), grams as (
+  select doc_id, unnest(list_concat(list_filter(c, lambda x: x <> ' '), list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) as g from s
+), counts as (
+  select doc_id, g, count(*) as n from grams group by 1, 2
+), mine as (
+  select * from (select doc_id, g, row_number() over (partition by doc_id order by n desc, g) - 1 as k from counts) where k < 300
+), learned as (
+  select lang, g, sum(n) as n from counts join s using (doc_id) where not held_out and lang is not null group by 1, 2
+), profile as (
+  select * from (select lang, g, row_number() over (partition by lang order by n desc, g) - 1 as k from learned) where k < 300
+), far as (
+  select m.doc_id, l.lang, sum(case when p.k is null then 300 else abs(p.k - m.k) end) as far, count(*) as used
+  from mine m cross join (select distinct lang from profile) l left join profile p on p.lang = l.lang and p.g = m.g group by 1, 2
+), best as (
+  select * from (select *, row_number() over (partition by doc_id order by far, lang) as k from far) where k = 1
+)
+select s.doc_id, held_out, coalesce(b.lang, 'und') as lang_pred, coalesce(1 - far::double / (used * 300), 0::double) as score from s left join best b using (doc_id)
+"""

@@ -1,10 +1,10 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
 from .html_text import op6_html_extraction
-from .langid import op10_language_id
+from .langid import OP10_SQL, op10_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
-from .lm import op1_kneser_ney, op1_kneser_ney_trigrams
-from .neighbours import op3_embedding_near_dedup
+from .lm import OP1_SQL, op1_kneser_ney, op1_kneser_ney_trigrams
+from .neighbours import OP3_SQL, op3_embedding_near_dedup
 from .packing import op5_best_fit_packing
 from .pieces import op2_sentencepiece
 from .resampling import op4_importance_resampling
@@ -26,5 +26,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_kneser_ney": OP1_SQL,
+    "op3_embedding_near_dedup": OP3_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op10_language_id": OP10_SQL,
 }

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, slices, texts_as_bytes
+from .common import Scratch, fresh, held, slices, texts_as_bytes
 from .graph import connected_components
 
 SEED, TILE = 42, 256
@@ -189,14 +189,15 @@ def deduplicate(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame
     """docs without all but one document of each group: the one of the smallest doc_id (null first, equal
     ids by the text's hash). Of rows equal in doc_id and text one stays. All columns stay."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    keyed = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    prints = scratch.table(fingerprints(keyed, width, "_t"), "prints")
+    t, d, k = fresh(docs, "text_hash", "kept_id", "kept_hash")
+    keyed = docs.withColumn(t, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    prints = scratch.table(fingerprints(keyed, width, t), "prints")
     named = _components(prints, max_bits, scratch)
-    kept = prints.join(named, "fp").groupBy("component").agg(F.min(F.struct("doc_id", "_t")).alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k._t").alias("_k"))
-    out = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k")), "left_semi")
-    if prints.groupBy("doc_id", "_t").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_t"])
-    return out.drop("_t")
+    kept = prints.join(named, "fp").groupBy("component").agg(F.min(F.struct("doc_id", t)).alias("least")).select(F.col("least.doc_id").alias(d), F.col("least")[t].alias(k))
+    out = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(t) == F.col(k)), "left_semi")
+    if prints.groupBy("doc_id", t).count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", t])
+    return out.drop(t)
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import math
 import random
 import re
@@ -144,6 +145,32 @@ def test_links_that_no_order_comes_upon(spark, monkeypatch, caplog):
     assert 0 < record.args[1] < record.args[0]  # the walk missed some, and says so
 
 
+def test_bridge_between_dense_cores(spark):
+    """Two cores of 301 and one pair that links them, among others: every list of a core is full of its own."""
+    rng = np.random.default_rng(9)
+    a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    core = lambda c, n=300: c + rng.standard_normal((n, 32)) * 0.004
+    towards = lambda c, d, x: (math.cos(x) * c + math.sin(x) * d)[None, :]
+    far = math.acos(0.97)
+    d = math.cos(far) * a + math.sin(far) * b
+    x = np.concatenate([core(a), towards(a, b, 0.3 * far), core(d), towards(a, b, 0.7 * far), rng.standard_normal((1200, 32))])
+    _components_are_exact(spark, x)
+
+
+def test_audit_of_a_share_measures_and_raises(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((1500, 32)) + 1
+    x = np.concatenate([a, a + rng.standard_normal(a.shape) * 0.02])
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    out, seen = neighbours.audited(df, audit_share=0.3)
+    assert 0 < seen["links"] < 1500 and seen["recall"] >= 0.9 and out.where("n_links > 0").count() >= 0.9 * len(x)
+    assert neighbours.audited(df)[1]["links"] == 1500
+    for name, value in (("ORDERS", 1), ("WINDOW", 1), ("ENLARGED", 0)):
+        monkeypatch.setattr(neighbours, name, value)
+    with pytest.raises(neighbours.RecallError):
+        neighbours.audited(df, rounds=0, audit_share=0.3)
+
+
 def test_model_is_kneser_ney(spark, rows):
     out = {r.doc_id: r for r in lm.op1_kneser_ney(spark, SF).collect()}
     tok = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in rows}
@@ -218,13 +245,25 @@ def test_language_on_held_out_rows(spark, rows):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
 
 
-def test_language_distance_is_out_of_place(spark, rows):
-    profile = [("x", g, k) for k, g in enumerate((11, 12, 13))]
-    doc, gram, rank = langid.ranked(np.array([0, 0, 0]), np.array([12, 99, 11]), np.array([5, 9, 5]), 10)
-    assert list(zip(doc, gram, rank, strict=True)) == [(0, 99, 0), (0, 11, 1), (0, 12, 2)]
-    assert profile
-    d, g, c = langid.gram_counts(["aab", "", "b"])
-    assert [int(c[d == k].sum()) for k in range(3)] == [3 + 3 + 2, 0, 1 + 1]
+def plain_grams(text):
+    s = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower() + " "))
+    return collections.Counter(s[k : k + n] for n in (1, 2, 3) for k in range(len(s) - n + 1) if s[k : k + n] != " ")
+
+
+def test_language_is_out_of_place_distance(spark, docs, rows):
+    """Every prediction and score against counters of strings."""
+    first = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:300]]
+    learned = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None:
+            learned[r.lang].update(plain_grams(r.text))
+    profile = {lang: {g: k for k, g in enumerate(first(c))} for lang, c in sorted(learned.items())}
+    out = {r.doc_id: r for r in langid.op10_language_id(spark, SF).collect()}
+    for r in rows:
+        mine = first(plain_grams(r.text))
+        far = {lang: sum(abs(p[g] - k) if g in p else 300 for k, g in enumerate(mine)) for lang, p in profile.items()}
+        best = min(far, key=far.get) if mine else "und"
+        assert (out[r.doc_id].lang_pred, out[r.doc_id].score) == (best, 1 - far[best] / (300 * len(mine)) if mine else 0.0)
 
 
 def test_quality_on_held_out_labels(spark):
@@ -237,6 +276,43 @@ def test_quality_on_held_out_labels(spark):
     assert sum(clean) >= 0.95 * len(clean) and sum(junk) <= 0.25 * len(junk)
 
 
+def test_quality_weights_and_selection(spark, docs, rows):
+    """Weights, keys and the rows selected, against counters."""
+    some = [(r.doc_id, r.text) for r in rows[:60]] + [(None, "words without an id"), (7_000, None), (7_001, ""), (7_002, "same"), (7_002, "same")]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    ids = [d for d, _ in some if d is not None and d % 3 == 0]
+    target = spark.createDataFrame([(d,) for d in ids], "doc_id long")
+    buckets, k = 512, 20
+    fit = {r.doc_id for r in target.where("pmod(xxhash64(1, doc_id), 4) > 0").collect()}
+    mask = (1 << 64) - 1
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(t.encode()) for t in resampling.TOKEN.findall((text or "").lower())]
+        return [x % buckets for x in h] + [((((a * 0x9E3779B97F4A7C15 & mask) ^ b) * 0xC2B2AE3D27D4EB4F & mask) >> 24) % buckets for a, b in zip(h, h[1:])]
+
+    raw, aim = collections.Counter(), collections.Counter()
+    for d, t in some:
+        raw.update(grams(t))
+        if d in fit:
+            aim.update(grams(t))
+    p = lambda c, b: (c[b] + 1) / (sum(c.values()) + buckets)
+    out = sorted(resampling.resample(df, target, k=k, buckets=buckets).collect(), key=lambda r: (str(r.doc_id), r.n_grams))
+    keys = []
+    for r, (d, t) in zip(out, sorted(some, key=lambda x: (str(x[0]), len(grams(x[1])))), strict=True):
+        g = grams(t)
+        assert (r.doc_id, r.n_grams) == (d, len(g))
+        if g:
+            u = ((xxhash.xxh64_intdigest(str(d), 0) >> 11) + 0.5) / 2.0**53
+            weight = sum(math.log(p(aim, b) / p(raw, b)) for b in g)
+            assert math.isclose(r.log_weight, weight, rel_tol=1e-9, abs_tol=1e-9)
+            keys.append(weight - math.log(-math.log(u)))
+            assert math.isclose(r.key, keys[-1], rel_tol=1e-9, abs_tol=1e-9)
+        else:
+            assert r.log_weight == -math.inf and not r.selected
+    least = sorted(keys, reverse=True)[k - 1]
+    assert [r.selected for r in out] == [r.n_grams > 0 and r.key >= least - 1e-9 for r in out]
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     keys = [rng.choice([rng.gauss(0, 1), 0.25, 1e9 * rng.random()]) for _ in range(3000)] + [-math.inf] * 5
@@ -274,6 +350,46 @@ def plain_lines(docs, least):
     return {d: "\n".join(x for k, x in enumerate(ls) if k not in gone[d]) for d, ls in lines.items()}
 
 
+def maximal_lines(docs, least):
+    """The same by maximal runs without a bound: from each place, the longest run that begins at an earlier
+    place as well (a suffix's longest previous factor); its lines go if it has `least` words or more."""
+    count = lambda x: max(1, len(x.strip(" ").split(" ")))
+    lines = {d: t.split("\n") for d, t in sorted(docs) if t}
+    places = [(d, s) for d, ls in lines.items() for s in range(len(ls))]
+    gone = {d: set() for d in lines}
+    for k, (d, s) in enumerate(places):
+        own = lines[d][s:]
+        for e, t in places[:k]:
+            n = 0
+            for x, y in zip(own, lines[e][t:]):
+                if x != y:
+                    break
+                n += 1
+            if n and sum(map(count, own[:n])) >= least:
+                gone[d].update(range(s, s + n))
+    return {d: "\n".join(x for k, x in enumerate(ls) if k not in gone[d]) for d, ls in lines.items()}
+
+
+def test_line_windows_are_the_maximal_runs():
+    rng = random.Random(8)
+    for _ in range(60):
+        base = [rng.choice(["a", "b c", "d  e f", "", " g h i j ", "k l"]) for _ in range(30)]
+        docs = []
+        for k in range(8):  # passages of many lengths, some overlapping, some twice in a text
+            parts = [rng.choice([lambda: base[(s := rng.randrange(30)) : s + rng.randint(1, 25)], lambda: [f"own {rng.random()}"]])() for _ in range(4)]
+            docs.append((k, "\n".join(x for p in parts for x in p)))
+        for least in (1, 4, 9, 20):
+            assert plain_lines(docs, least) == maximal_lines(docs, least)
+
+
+def test_lines_of_long_copied_passages(spark):
+    rng = random.Random(9)
+    base = [f"line {rng.randrange(40)} of some words" for _ in range(300)]
+    docs = [(k, "\n".join(base[(s := rng.randrange(200)) : s + rng.randint(5, 100)] + [f"own {k}"] + base[:k])) for k in range(40)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), 50).collect()}
+    assert got == maximal_lines(docs, 50)
+
+
 def test_lines(spark):
     rng = random.Random(2)
     docs = [(k, "\n".join(rng.choice(["a", "b c", "d  e f", "", " g h i j ", "k l"]) for _ in range(rng.randint(0, 25)))) for k in range(60)]
@@ -325,6 +441,25 @@ def test_best_fit(lengths, open_bins):
     assert all(x <= 64 for x in used.values())
 
 
+@functools.cache
+def word_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    return tok
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aBthn 's12.,\n\t\x00\x1c\x85\u2003éÉßİΣς’“—漢字😀e\u0301<|>"), max_size=40), max_size=5))
+def test_encoder_equals_the_tokenizer(batch):
+    import public_tokenizers
+
+    path, tok = public_tokenizers.path("word_bpe_49k.json"), word_tokenizer()
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(path).encode(batch)] == [tok.encode(x, add_special_tokens=False).ids for x in batch]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aethn o\nÉß漢😀'12.,▁"), max_size=60), max_size=6))
 def test_pieces_equal_the_library(batch):
@@ -347,9 +482,28 @@ def test_pieces_on_documents(spark, rows):
         assert r.ids == sp.encode(text[r.doc_id]) and r.lossless
 
 
-def test_spotsigs_edits(spark, rows):
+def plain_spots(text, anchors, chain=2):
+    """The chains of a text as tuples of words."""
+    words = [w for w in (x.strip(spotsigs.PUNCTUATION) for x in text.lower().split()) if w]
+    after = lambda ws: tuple(ws[:chain])
+    spots = {(w, *after([x for x in words[k + 1 :] if x not in anchors])) for k, w in enumerate(words) if w in anchors}
+    return spots or {tuple(words[k : k + chain + 1]) for k in range(len(words))} or {text}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_anchors_are_what_most_documents_have(docs, rows):
+    seen = collections.Counter(w for r in rows for w in set((r.text or "").lower().split()) if re.fullmatch(r"[^\W\d_]+", w))
+    learned = spotsigs.learn_anchors(docs, 20)
+    assert learned == [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:20]]
+
+
+def test_spotsigs_edits(spark, docs, rows):
     import hashlib
 
+    anchors = set(spotsigs.learn_anchors(docs))
     out = {r.doc_id: r for r in spotsigs.op8_spotsigs_fingerprints(spark, SF).collect()}
     rows = sorted(rows, key=lambda r: -r.doc_id)
     for r, after in zip(rows, [*rows[1:], rows[0]], strict=True):
@@ -357,17 +511,49 @@ def test_spotsigs_edits(spark, rows):
         edited = r.text[: len(r.text) - k] + after.text[:k]
         o = out[r.doc_id]
         assert (o.n_chars, o.edited_sha256) == (len(r.text), hashlib.sha256(edited.encode()).hexdigest())
-        assert o.edited_fingerprint == spotsigs.fingerprint_strings(spotsigs.signatures([edited]), 1)[0]
-        assert o.fingerprint == spotsigs.fingerprint_strings(spotsigs.signatures([r.text]), 1)[0]
-        a, b = (set(np.frombuffer(base64.b64decode(x), "<u4").tolist()) for x in (o.fingerprint, o.edited_fingerprint))
-        assert math.isclose(o.near_edited, len(a & b) / len(a | b))
+        own, other, following = (plain_spots(x, anchors) for x in (r.text, edited, after.text))
+        assert len(base64.b64decode(o.fingerprint)) == 4 * len(own) and len(base64.b64decode(o.edited_fingerprint)) == 4 * len(other)
+        assert math.isclose(o.near_edited, jaccard(own, other)) and math.isclose(o.near_next, jaccard(own, following))
+
+
+def test_spotsigs_join(spark, docs, rows):
+    rng = random.Random(12)
+    texts = [r.text for r in rows if r.text][:70]
+    for x in texts[:40]:  # near copies around the threshold
+        words = x.split()
+        for _ in range(rng.randint(1, 3)):
+            texts.append(" ".join(w if rng.random() > rng.choice([0.01, 0.03, 0.06]) else rng.choice(words) for w in words))
+    texts += ["", " ", "", "one", "one", "a b"]
+    anchors = spotsigs.learn_anchors(docs, 40)
+    sets = [plain_spots(x, set(anchors)) for x in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for threshold in (0.5, 0.8, 1.0):
+        near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= threshold - 1e-12]
+        assert near
+        got = {r.doc_id: r for r in spotsigs.near_duplicates(df, threshold, anchors).collect()}
+        assert [got[k].component_id for k in range(len(texts))] == components(len(texts), near)
+        assert all(got[k].n_signatures == len(x) for k, x in enumerate(sets))
+
+
+def test_spotsigs_join_of_one_large_group(spark):
+    """A group far larger than a tile, each member another text."""
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(["the", *base[:k % 60], f"x{k}", *base[k % 60 :]]) for k in range(400)] + [" ".join(f"y{k} z{j}" for j in range(20)) for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [plain_spots(x, set()) for x in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(df, 0.8, []).collect()}
+    assert [got[k] for k in range(len(texts))] == components(len(texts), near)
 
 
 def test_spot_signatures_are_chains():
-    text = "The quick brown of fox, and the lazy dog"
-    one = spotsigs.signatures([text])
+    anchors = ["the", "of", "and"]
+    sigs = lambda x: spotsigs.signatures([x], anchors) & np.uint64(0xFFFFFFFF)
+    one = sigs("The quick brown of fox, and the lazy dog")
     assert len(one) == 4  # the-quick-brown, of-fox-lazy, and-lazy-dog, the-lazy-dog
-    assert (spotsigs.signatures(["the quick brown"])[0] & 0xFFFFFFFF) in (one & np.uint64(0xFFFFFFFF))
+    assert set(sigs("the quick brown")) <= set(one)
+    assert len(sigs("the end of")) == 2  # the-end, of: cut off by the end of the text
+    assert len(set(sigs("no anchor here at all")) & set(sigs("no anchor here at last"))) == 2  # runs of three words
 
 
 def test_block_vectors_read_all_words():
@@ -383,23 +569,105 @@ def test_block_vectors_read_all_words():
     assert np.allclose(a[0, at : at + html_text.WORD_DIMS], want / math.sqrt(len(words)))
 
 
-def test_pages_on_unseen_layouts(spark):
-    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
-    model = html_text.train(pages, n_pages=500)
-    lines = [b.text for p in pages for b in html_text.blocks(p)]
+#: Written by hand, in manners that compose() has not; the lines of the main text follow each page.
+PAGES = [
+    ("""<html><body class="home"><div id="top"><span>Weather Weekly</span><a href="/a">Subscribe</a><a href="/b">Login</a></div>
+<div class="story"><h1>Storm reaches the coast</h1><p>By our reporter</p><p>The storm that had been expected since Monday reached the coast last night.
+<p>Trains were <em>late</em> by up to three hours, and two bridges had to be closed.<br>Nobody was hurt.
+<ul><li>Stay at home if you can.<li>Close all windows.</ul></div>
+<div class="related"><h4>Related articles</h4><ul><li><a href="/1">Rain in March</a><li><a href="/2">How storms form</a></ul></div>
+<div id="footer">Copyright 2020 Weather Weekly. <a href="/i">Imprint</a></div></body></html>""",
+     ["Storm reaches the coast", "By our reporter", "The storm that had been expected since Monday reached the coast last night.", "Trains were late by up to three hours, and two bridges had to be closed. Nobody was hurt.", "Stay at home if you can.", "Close all windows."]),
+    ("""<!doctype html><title>Bread</title><header><a href="/">Kitchen notes</a><nav><a href="/r">Recipes</a> <a href="/t">Tips</a> <a href="/s">Search</a></nav></header>
+<main><article><h2>A simple bread</h2><p>Mix flour, water, salt and yeast in a large bowl and let the dough rest for an hour.</p><blockquote>Time does most of the work.</blockquote>
+<p>Bake it at 230 degrees for forty minutes &amp; let it cool.</p></article>
+<section class="comments"><h3>2 comments</h3><div class="comment"><b>Anna</b><p>I tried this and it worked well, thank you!</p></div><div class="comment"><b>Tom</b><p>Mine did not rise at all.</p></div></section></main>
+<aside><h3>Popular posts</h3><ul><li><a href="/x">Tomato soup</a></li><li><a href="/y">Apple cake</a></li></ul></aside><footer><p>All rights reserved.</p></footer>""",
+     ["A simple bread", "Mix flour, water, salt and yeast in a large bowl and let the dough rest for an hour.", "Time does most of the work.", "Bake it at 230 degrees for forty minutes & let it cool."]),
+    ("""<body><div class='cookie-consent'>We use cookies to make this site better. <button>Accept</button></div><div class=nav><ul><li><a href=/>Home</a></li><li><a href=/d>Docs</a></li><li><a href=/f>Forum</a></li></ul></div>
+<div class=content><h1>Installing the program</h1><p>Download the archive for your system and unpack it into a folder of your choice.</p><pre>tar xf program.tar</pre><p>Then start it once, so that it can write its settings.</p>
+<div class="advert">Sponsored: cheap servers from one coin a month</div><p>If the start fails, read the log beside the program.</p></div>
+<form class="search" action="/q"><label>Search the docs</label><input name=q></form></body>""",
+     ["Installing the program", "Download the archive for your system and unpack it into a folder of your choice.", "tar xf program.tar", "Then start it once, so that it can write its settings.", "If the start fails, read the log beside the program."]),
+    ("""<html><body><table><tr><td><a href="1">News</a></td><td><a href="2">Sport</a></td><td><a href="3">Culture</a></td></tr></table>
+<div id="article-text"><h1>Der Fluss steigt</h1><p>In der Nacht ist der Fluss um einen halben Meter gestiegen, sagte die Stadt am Morgen.</p><p>Die Schulen bleiben geschlossen. Am Mittag soll es trocken werden.</p></div>
+<div class="side"><p>Meistgelesen</p><p><a href="4">Ein Dorf ohne Strom</a></p></div><div class="copyright">Impressum &middot; Datenschutz</div></body></html>""",
+     ["Der Fluss steigt", "In der Nacht ist der Fluss um einen halben Meter gestiegen, sagte die Stadt am Morgen.", "Die Schulen bleiben geschlossen. Am Mittag soll es trocken werden."]),
+    ("""<div class=wrapper><div class=masthead><h2>The Reader</h2><p>Letters and essays since 1990</p></div><div class=post><h1>On walking</h1><p>I have walked to work for eleven years. It takes fifty minutes, and I would not miss one of them.
+<p>A walk has a beginning, a middle and an end, like a story; <a href="/essay">an essay</a> has them too.
+<p>Some days I count the trees.</div><div class=sharing><a href=#>Share this page</a> <a href=#>Print</a></div><ol class=discussion><li><p>Lovely. I do the same on Sundays.</p></li><li><p>Eleven years is long!</p></li></ol></div>""",
+     ["On walking", "I have walked to work for eleven years. It takes fifty minutes, and I would not miss one of them.", "A walk has a beginning, a middle and an end, like a story; an essay has them too.", "Some days I count the trees."]),
+    ("""<body><nav role=navigation><a href=/>Accueil</a> | <a href=/a>Actualités</a> | <a href=/c>Contact</a></nav><section class="notice"><p>Notre site change. Lisez les nouvelles règles.</p></section>
+<article><h1>Le musée rouvre</h1><p>Après deux ans de travaux, le musée de la ville rouvre ses portes samedi.</p><p>L'entrée sera libre pendant tout le mois, dit la maire.</p><figure><img src=m.jpg><figcaption>La grande salle</figcaption></figure></article><footer>Mentions légales</footer></body>""",
+     ["Le musée rouvre", "Après deux ans de travaux, le musée de la ville rouvre ses portes samedi.", "L'entrée sera libre pendant tout le mois, dit la maire.", "La grande salle"]),
+]
+
+
+@pytest.fixture(scope="module")
+def labeller(spark):
+    """As the query trains it."""
+    return html_text.train([r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()][: html_text.SAMPLE_PAGES])
+
+
+def test_pages_written_by_hand(labeller):
+    wrong = n = 0
+    for page, want in PAGES:
+        seq = html_text.blocks(page)
+        assert set(want) <= {b.text for b in seq}
+        y = labeller.predict([html_text.vectors(seq)])[0] > 0.5
+        wrong += sum(bool(p) != (b.text in want) for p, b in zip(y, seq, strict=True))
+        n += len(seq)
+    print("blocks labelled wrongly:", wrong, "of", n)
+    assert wrong <= 0.1 * n
+
+
+def test_pages_on_unseen_layouts(spark, labeller):
+    lines = [b.text for r in spark.read.parquet(f"{SF}/pages.parquet").collect() for b in html_text.blocks(r.html)]
     rng, wrong, n = random.Random(77), 0, 0
     for _ in range(150):
         seq = html_text.blocks(html_text.compose(rng, lines))
         y = [b.text.startswith(html_text.MARK) for b in seq]
         for b in seq:
             b.text = b.text.lstrip(html_text.MARK).strip() or "x"
-        wrong += sum((p > 0.5) != t for p, t in zip(model.predict([html_text.vectors(seq)])[0].tolist(), y, strict=True))
+        wrong += sum((p > 0.5) != t for p, t in zip(labeller.predict([html_text.vectors(seq)])[0].tolist(), y, strict=True))
         n += len(y)
-    assert wrong <= 0.02 * n
-    for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet"), model).collect():
+    print("blocks labelled wrongly:", wrong, "of", n)
+    assert wrong <= 0.06 * n
+    for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet"), labeller).collect():
         assert r.text and not re.search("</?[a-z]", r.text)
 
 
+def test_articles_of_the_pages(spark, labeller):
+    """The tables' pages put their main text into one article element, whatever stands around it."""
+    for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet"), labeller).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inside = re.search(r"<article>(.*)</article>", r.html, re.DOTALL)[1]
+        assert r.text == "\n".join(b.text for b in html_text.blocks(f"<article>{inside}</article>"))
+
+
+def test_markup_is_read_in_linear_time():
+    import time
+
+    def took(n):
+        start = time.process_time()
+        seq = html_text.blocks("<div class=content>x" * n + "</span></b>" * n + "<a \"x" * n)
+        html_text.vectors(seq)
+        return time.process_time() - start
+
+    took(100)
+    assert took(40_000) < 40 * max(took(4_000), 0.01)
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<p>a<a href="foo>b</a> c</p>', ["ab c"]),
+    ("<p>a <a href='x>y' title=\"it's\">b</a> c</p>", ["a b c"]),
+    ('<div a="x>y">t</div>', ["t"]),
+    ("<p>one<style a=\"b>q</style> two", ["one two"]),
+    ("<p>1 < 2 &lt;b&gt;", ["1 < 2 <b>"]),
+])
+def test_quotes_that_do_not_close(page, want):
+    assert [b.text for b in html_text.blocks(page)] == want
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(0)
     m = html_text.Labeller(seed=4, dims=5, hidden=3)
@@ -424,7 +692,10 @@ def test_labeller_gradients():
 
 def test_pipeline(spark, docs):
     out = corpus_pipeline.run(spark, SF).collect()
-    found = langid.identify(docs, langid.profiles(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"))).where(f"lang_pred <> 'und' and score >= {corpus_pipeline.LEAST_SCORE}").select(*docs.columns)
+    learned_from = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
+    learned = langid.profiles(learned_from)
+    least = langid.least_score(learned_from, learned)
+    found = langid.identify(docs, learned).where(f"lang_pred <> 'und' and score >= {least}").select(*docs.columns)
     labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0")
     chosen = resampling.resample(found, labels, keep_text=True).where("selected").select("doc_id", "text").collect()
     texts = plain_lines([(r.doc_id, r.text) for r in chosen], 50)
@@ -433,9 +704,50 @@ def test_pipeline(spark, docs):
     label = components(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
     kept = {ids[k] for k in label}
     assert {r.doc_id for r in out} == kept and 0 < len(kept) < docs.count()
-    enc = packing.encoder(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    enc = packing.Encoder(__import__("public_tokenizers").path("word_bpe_49k.json"))
     for d in kept:
         assert sum(r.length for r in out if r.doc_id == d) == len(enc.encode([texts[d]])[0]) // 4 + 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "lines", "near_copies", "packing"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+EDGES = [
+    (1, "The cat sat on the mat and the dog ran home.", "en", 777.0, True, 1, "a"),
+    (1, "The cat sat on the mat and the dog ran home.", "en", 777.0, True, 1, "a"),
+    (2, None, None, None, None, None, None),
+    (3, "", "en", 777.0, False, 3, ""),
+    (None, "the dog ran home on the old road and the cat sat still", None, 1.0, None, 4, "c"),
+    (5, "the house of the old man is near a river and it flows " * 3000, "en", 2.0, True, 5, "d"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, a repeated row, and columns named as operators name their own."""
+    return spark.createDataFrame(EDGES, "doc_id long, text string, lang string, score double, selected boolean, _t int, removed string")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_edges(spark, odd, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows, none = stage(spark, odd, SF).collect(), stage(spark, odd.limit(0), SF)
+    assert none.count() == 0
+    ids = sorted((r.doc_id or 0) for r in rows)
+    if name == "packing":
+        assert set(ids) == {0, 1, 2, 3, 5}
+        return
+    assert none.columns == odd.columns
+    own = {(r[0], r[1]): r[3:] for r in map(tuple, EDGES)}
+    assert all(tuple(r)[3:] == own[r.doc_id, r.text] for r in rows)
+    assert ids == {"language": [0, 1, 1, 5], "quality": [0, 1, 1, 5], "lines": [0, 1, 1, 2, 3, 5], "near_copies": [0, 1, 2, 5]}[name]
+
+
+def test_language_stage_drops_what_no_profile_explains(spark, docs):
+    rng = random.Random(4)
+    noise = [(10_000_000 + k, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 12))) for _ in range(200)), None) for k in range(30)]
+    junk = spark.createDataFrame(noise, "doc_id long, text string, lang string")
+    some = docs.select("doc_id", "text", "lang")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, some.unionByName(junk), SF).select("doc_id").collect()}
+    assert not any(d in kept for d, *_ in noise)
+    assert {r.doc_id for r in some.where("lang is not null and length(text) > 0").collect()} <= kept

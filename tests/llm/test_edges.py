@@ -138,6 +138,12 @@ def test_spotsigs(spark, docs, none):
     assert len({r.fingerprint for r in rows if r.doc_id in (2, 3)}) == 1
     assert spotsigs.compare_with_edited(none).count() == 0
     assert spotsigs.fingerprints(docs.withColumn("fingerprint", F.lit(1))).columns.count("fingerprint") == 1
+    found = spotsigs.near_duplicates(docs).collect()
+    assert len(found) == len(ROWS) and {r.component_id for r in found if r.doc_id in (2, 3)} == {2}
+    assert {r.component_id for r in found if r.doc_id == 1} == {1}
+    assert spotsigs.near_duplicates(none).count() == 0
+    with pytest.raises(ValueError):
+        spotsigs.near_duplicates(docs, 0.0)
 
 
 def test_vectors(spark):
@@ -161,3 +167,32 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0), model).count() == 0
     assert [b.text for b in html_text.blocks(rows[4][2])] == ["A & B", "one two!", "unclosed"]
     assert html_text.blocks(rows[5][2]) == []
+
+
+def test_worker_keeps_one_operators_state():
+    from papyra.llm import common
+
+    first = common.held("one")
+    first["x"] = 1
+    assert common.held("one") is first
+    assert common.held("two") == {} and common.held("one") == {}
+
+
+def test_columns_named_like_an_operators_own(spark):
+    rows = [(1, "a b c d\ne f g h", 5, 6), (2, "a b c d\ne f g h", 7, 8), (3, "something else", 9, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line_doc int, TEXT_HASH int")
+    assert sorted(tuple(r)[2:] for r in simhash.deduplicate(df).collect()) == [(5, 6), (9, 10)]
+    assert sorted((r.line_doc, r.TEXT_HASH) for r in line_dedup.dedup_lines(df, 4).collect()) == [(5, 6), (7, 8), (9, 10)]
+    marked = df.select("doc_id", "text", df.line_doc.alias("is_target"), df.TEXT_HASH.alias("known_id"))
+    got = resampling.resample(marked, spark.createDataFrame([(1,)], "doc_id long"), k=2).collect()
+    assert sorted((r.is_target, r.known_id) for r in got) == [(5, 6), (7, 8), (9, 10)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from papyra.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(cluster)
