@@ -122,8 +122,10 @@ def vector_table(vectors: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Data
 
 
 def write_vector_table(rows: DataFrame, path: str) -> None:
-    """Replaces the table; current editions are a partition of their own, dates are sorted for pruning."""
-    rows.repartition("is_current").sortWithinPartitions("begin_ord").write.mode("overwrite").partitionBy("is_current").parquet(path)
+    """Replaces the table; current editions are a partition of their own, dates are sorted for pruning.
+
+    Rows are dealt by ranges of date and id, so neither half of the table nor a frequent date is one task."""
+    rows.repartitionByRange("is_current", "begin_ord", F.xxhash64("chunk_id")).sortWithinPartitions("is_current", "begin_ord").write.mode("overwrite").partitionBy("is_current").parquet(path)
 
 
 def fixed_pieces(docs: DataFrame, size: int = 2000, least: int = 6) -> DataFrame:

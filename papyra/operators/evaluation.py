@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from papyra.functions.union import union_all
 
+#: Queries of a labelled basket at most.
+MOST = 1_000_000
 #: Depths of recall and nDCG, digits of the report, depths of the overfetch probe.
 DEPTHS, NDCG_DEPTH, DIGITS, PROBE = (1, 5, 10, 20), 10, 4, (1, 2, 4, 8, 16)
 
@@ -38,9 +40,12 @@ def shuffled_gold(gold: DataFrame, seed: int) -> DataFrame:
 
     gold(query_id, act_id), one row a query; queries without such another keep none. Candidates are
     the next query's act, or the next other act beyond a run of equal ones, found by windows over runs.
+    The order is one over all queries, so a basket holds MOST of them at most; a larger one raises.
     """
+    if gold.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"more than {MOST} queries are no labelled basket")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query_id").cast("string")))
-    w = Window.orderBy("h", "query_id")  # a labelled basket: small by nature
+    w = Window.orderBy("h", "query_id")  # MOST rows at most
     rows = gold.withColumn("h", order).withColumn("new", F.coalesce((F.col("act_id") != F.lag("act_id").over(w)).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("new").over(w))
     runs = rows.groupBy("run").agg(F.any_value("act_id").alias("act"))

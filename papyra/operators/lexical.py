@@ -23,10 +23,21 @@ class LexicalIndex:
     stats: DataFrame
 
     def write(self, path: str) -> None:
-        """Postings in ranges of term, so that a query's terms read few files."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        """Postings in ranges of term, so that a query's terms read few files; terms and stats from these.
+
+        The texts are tokenised once: postings are staged first, and what follows reads them.
+        """
+        spark = self.postings.sparkSession
+        self.postings.write.mode("overwrite").parquet(f"{path}/staged")
+        staged = spark.read.parquet(f"{path}/staged")
+        staged.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+        written = spark.read.parquet(f"{path}/postings")
+        written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        total = written.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+        n = self.stats.select("n")  # the count alone: no text is read
+        n.crossJoin(total).select("n", (F.col("total") / F.nullif("n", F.lit(0))).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+        staged_at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/staged")
+        staged_at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged_at, True)
 
     @classmethod
     def read(cls, spark, path: str) -> LexicalIndex:
@@ -34,13 +45,18 @@ class LexicalIndex:
 
 
 def build(chunks: DataFrame, text: str = "text", breadcrumb: str | None = None, stem=None) -> LexicalIndex:
-    """Index of chunks(chunk_id, text[, breadcrumb]); the breadcrumb is a line before the text."""
+    """Index of chunks(chunk_id, text[, breadcrumb]); the breadcrumb is a line before the text.
+
+    Exploded rows carry the id, the length and one term, not the tokens; outer, so that no filter on
+    their number is inferred, which would tokenise again. Document frequencies count distinct terms of a
+    chunk inside its row.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     body = F.concat_ws("\n", F.col(breadcrumb), body) if breadcrumb else body
     toks = chunks.select("chunk_id", tokens(body, stem=stem).alias("t"))
-    sized = toks.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    postings = sized.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+    sized = toks.select("chunk_id", F.size("t").alias("dl"), "t").select("chunk_id", "dl", F.explode_outer("t").alias("term"))
+    postings = sized.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")).where("term is not null")
+    terms = toks.select(F.explode_outer(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("term is not null")
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
     return LexicalIndex(postings, terms, stats)
 

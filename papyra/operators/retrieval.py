@@ -18,6 +18,8 @@ from . import lexical
 RRF_K, POOL, CAP, RERANKED, TOP, OVERFETCH = 60, 60, 3, 50, 10, 8
 #: Queries that dense search multiplies with an Arrow batch at a time.
 STEP = 512
+#: Chunks of a bucket that a query's random control is drawn from.
+DRAWN = 64
 #: Vectors of a block where all pairs are compared.
 BLOCK = 4096
 HIT = ["query_id", "chunk_id", "act_id", "score", "rank"]
@@ -161,8 +163,12 @@ def trace(stages: dict[str, DataFrame]) -> DataFrame:
 
 
 def random_control(queries: DataFrame, chunks: DataFrame, k: int, seed: int) -> DataFrame:
-    """k chunks a query in the order of md5(seed:query:chunk), whatever the date; score 0."""
-    rows = chunks.select("chunk_id", "act_id").join(F.broadcast(queries.select("query_id")))
+    """k chunks a query, whatever the date; score 0. Chunks and queries are dealt to buckets of some DRAWN chunks by
+    md5; a query draws from its own bucket, in the order of md5(seed:query:chunk), so no query meets all chunks."""
+    number = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 8), 16, 10).cast("long")
+    buckets = chunks.agg(F.greatest(F.lit(1), F.floor(F.count("*") / DRAWN)).alias("buckets"))  # one row
+    dealt = lambda df, key: df.crossJoin(F.broadcast(buckets)).withColumn("bucket", number(F.col(key).cast("string")) % F.col("buckets")).drop("buckets")
+    rows = dealt(chunks.select("chunk_id", "act_id"), "chunk_id").join(dealt(queries.select("query_id"), "query_id"), "bucket")
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("chunk_id").cast("string")))
     return ranked(rows.withColumn("h", h), k, [F.col("h"), F.col("chunk_id")]).select("query_id", "chunk_id", "act_id", F.lit(0.0).alias("score"), "rank")
 

@@ -10,8 +10,10 @@ from papyra.functions.dates import midpoint
 from papyra.functions.union import union_all
 from papyra.operators import basket as bk
 from papyra.operators import chunking, citations, embedding, evaluation, lexical, retrieval
+from papyra.sources.stored import stored
 
-from .corpus import CONTENTS, contents
+from . import chunk_sql
+from .corpus import contents
 from .surrogate import BASKET, DOCS, EDITIONS, basket, docs, duck, editions, frame, table, views
 
 K, SEED = 10, 7
@@ -37,10 +39,22 @@ def _letters(text):
     return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
 
 
-def _index(s, d):
+def _built(s, d):
+    """The index as one plan."""
     return lexical.build(docs(s, d).select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
+def _index(s, d):
+    """The index as written once a session and read from there."""
+    return lexical.LexicalIndex.read(s, stored(s, "lexical", [f"{d}/documents.parquet"], _built(s, d).write))
+
+
+def _letter_vectors(s, d):
+    """Documents' vectors, written once a session as a vector table is."""
+    source = docs(s, d).select(F.col("doc_id").alias("chunk_id"), "act_id", "begin_ord", "end_ord", "is_current", _letters(F.col("text")).alias("v"))
+    return s.read.parquet(stored(s, "vectors", [f"{d}/documents.parquet"], source.write.parquet))
+
+
 def _meta(s, d):
     return docs(s, d).select(F.col("doc_id").alias("chunk_id"), "act_id", "begin_ord", "end_ord", "is_current")
 
@@ -50,8 +64,7 @@ def _lex(s, d, k=K, **more):
 
 
 def _dense(s, d, k=K):
-    chunks = docs(s, d).select(F.col("doc_id").alias("chunk_id"), "act_id", "begin_ord", "end_ord", "is_current", _letters(F.col("text")).alias("v"))
-    return retrieval.dense(basket(s, d).select("query_id", "as_of", _letters(F.col("query")).alias("v")), chunks, k)
+    return retrieval.dense(basket(s, d).select("query_id", "as_of", _letters(F.col("query")).alias("v")), _letter_vectors(s, d), k)
 
 
 def _vectors(s, d):
@@ -59,8 +72,23 @@ def _vectors(s, d):
 
 
 def _gold(s, d):
-    q, w = basket(s, d).select("query_id", "query"), docs(s, d).select("doc_id", "act_id", "text")
-    return w.join(F.broadcast(q), F.contains(F.col("text"), F.col("query"))).select("query_id", "act_id", F.col("doc_id").alias("chunk_id"))
+    """Documents that hold a query's passage: by its rarest inner term through the index, then letter by letter.
+
+    A document that holds the passage holds the passage's inner words (all but the first and the last,
+    which may be parts of longer ones there). A passage without an inner term is looked for everywhere."""
+
+    def build(path):
+        q, w, index = basket(s, d).select("query_id", "query"), docs(s, d).select("doc_id", "act_id", "text"), _index(s, d)
+        inner = F.regexp_replace("query", r"^[^ \t\n\r]*[ \t\n\r]|[ \t\n\r][^ \t\n\r]*$", "")
+        words = q.where(F.col("query").rlike(r"[ \t\n\r].*[ \t\n\r]")).select("query_id", F.explode(F.array_distinct(tx.tokens(inner))).alias("term"))
+        rare = words.join(index.terms, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "term"))["term"].alias("term"))
+        at = index.postings.join(rare, "term").select("query_id", F.col("chunk_id").alias("doc_id"))
+        found = at.join(w, "doc_id").join(q, "query_id").where(F.contains(F.col("text"), F.col("query")))
+        rest = w.join(q.join(rare, "query_id", "left_anti"), F.contains(F.col("text"), F.col("query")))
+        columns = ["query_id", "act_id", F.col("doc_id").alias("chunk_id")]
+        union_all([found.select(*columns), rest.select(*columns)]).write.parquet(path)
+
+    return s.read.parquet(stored(s, "gold", [f"{d}/documents.parquet", f"{d}/benchmark.parquet"], build))
 
 
 def _fused(s, d, k=None):
@@ -152,10 +180,11 @@ QUERIES = {
     "toc_breadcrumbs": lambda s, d: contents(s, d).select("doc_id", F.posexplode(chunking.breadcrumbs(F.col("contents"))).alias("node", "p")).select("doc_id", "node", F.array_join("p", " › ").alias("path")),
     "chunk_documents": lambda s, d: chunking.chunk_documents(docs(s, d)),
     "chunk_documents_outline": lambda s, d: chunking.chunk_documents(contents(s, d).join(docs(s, d).select("doc_id", "act_id", "title"), "doc_id")),
+    "chunk_summary": lambda s, d: chunking.chunk_summary(chunking.chunk_documents(docs(s, d)), docs(s, d)),
     "chunk_stats": lambda s, d: chunking.chunk_stats(chunking.chunk_documents(docs(s, d)), docs(s, d)),
     "chunk_offset_identity": lambda s, d: chunking.offset_violations(chunking.chunk_documents(docs(s, d)), docs(s, d)).agg(F.count("*").alias("violations")),
     "tokenize": lambda s, d: docs(s, d).select("doc_id", tx.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("tokens"), F.md5(F.array_join("t", " ")).alias("digest")),
-    "bm25_index": lambda s, d: _index(s, d).terms,
+    "bm25_index": lambda s, d: _built(s, d).terms,
     "bm25_search": lambda s, d: lexical.search(_index(s, d), basket(s, d), K),
     "l2_normalize": lambda s, d: _vectors(s, d).select("chunk_id", F.round(vx.norm(vx.unit(F.col("v"))), 9).alias("norm"), F.round(F.element_at(vx.unit(F.col("v")), 1), 9).alias("first")),
     "mrl_truncate": lambda s, d: _vectors(s, d).select("chunk_id", F.round(F.element_at(vx.truncated(F.col("v"), 16), 16), 9).alias("last")),
@@ -214,7 +243,13 @@ def _tok(column: str) -> str:
     return _TOK.replace("{0}", column)
 
 
-_LEX = f"toks as (select doc_id as chunk_id, {_tok('text')} as t from documents), post as (select chunk_id, dl, term, count(*) as tf from (select chunk_id, len(t) as dl, unnest(t) as term from toks) group by 1, 2, 3), terms as (select term, count(*) as df from post group by 1), st as (select count(*) as n, avg(len(t)) as avgdl from toks), asked as (select query_id, term, count(*) as qtf from (select query_id, unnest({_tok('query')}) as term from basket) group by 1, 2), scored as (select query_id, chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))), 6) as score from asked join terms using (term) join post using (term), st group by 1, 2)"
+def _lex_sql(key: str, text: str, source: str) -> str:
+    return f"toks as (select {key} as chunk_id, {_tok(text)} as t from {source}), post as (select chunk_id, dl, term, count(*) as tf from (select chunk_id, len(t) as dl, unnest(t) as term from toks) group by 1, 2, 3), terms as (select term, count(*) as df from post group by 1), st as (select count(*) as n, avg(len(t)) as avgdl from toks), asked as (select query_id, term, count(*) as qtf from (select query_id, unnest({_tok('query')}) as term from basket) group by 1, 2), scored as (select query_id, chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))), 6) as score from asked join terms using (term) join post using (term), st group by 1, 2)"
+_LEX = _lex_sql("doc_id", "text", "documents")
+_CRUMBED = "(breadcrumb || chr(10) || text)"
+_DOCS = f"docs as ({duck(DOCS)})"
+_BUCKET = f"(('0x' || substr(md5(concat('{SEED}:', {{0}})), 1, 8))::ubigint % buckets)"
+_RANDOM = f"nb as (select greatest(1, count(*) // {retrieval.DRAWN}) as buckets from docs), dealt as (select doc_id, act_id, {_BUCKET.format('doc_id')} as bucket from docs, nb), asks as (select query_id, {_BUCKET.format('query_id')} as bucket from basket, nb), r10 as (select * from (select query_id, doc_id as chunk_id, act_id, row_number() over (partition by query_id order by md5(concat('{SEED}:', query_id, ':', doc_id)), doc_id)::int as rank from dealt join asks using (bucket)) where rank <= 10)"
 _PIT = "(case when q.as_of is null then d.is_current else d.begin_ord <= q.as_of and d.end_ord >= q.as_of end)"
 
 
@@ -268,7 +303,13 @@ ORACLE_SQL = {
     "merge_siblings": _rec(f"{_SPANS}, m as (select doc_id, k, s, e, para // 5 as pk, 1 as merged, 0 as c from full_spans where k = 1 union all select f.doc_id, f.k, case when ok then m.s else f.s end, f.e, f.para // 5, case when ok then m.merged + 1 else 1 end, m.c + (not ok)::int from m join full_spans f on f.doc_id = m.doc_id and f.k = m.k + 1, lateral (select f.para // 5 = m.pk and f.e - m.s <= 2000 and f.e - f.s < 2000 as ok)) select doc_id, min(s) as start, max(e) as \"end\", max(merged)::int as merged from m group by doc_id, c"),
     "toc_segments": f"with {_SPANS}, own as (select doc_id, s, arg_max(para, (1 + para % 3) * 1000000 + para)::int as node from spans group by 1, 2), x as (select o.doc_id, s as start, coalesce(lead(s) over (partition by o.doc_id order by s), length(text)) as \"end\", node from own o join documents d using (doc_id)) select * from x where \"end\" > start",
     "toc_breadcrumbs": f"with {_SPANS} select doc_id, para as node, array_to_string(list_transform(range(para - para % 3, para + 1), lambda i: 'L' || i), ' › ') as path from spans",
-    "chunk_offset_identity": "select 0::bigint as violations",
+    "chunk_documents": _rec(f"{_DOCS}, {chunk_sql.WHOLE}, {chunk_sql.chunks()} select * from chunks"),
+    "chunk_documents_outline": _rec(f"{_DOCS}, {chunk_sql.OUTLINE}, {chunk_sql.chunks()} select * from chunks"),
+    "chunk_stats": _rec(f"{_DOCS}, {chunk_sql.WHOLE}, {chunk_sql.chunks()} select boundary_kind, count(*) as chunks, sum(length(text))::bigint as chars, max(length(text))::int as longest, round(sum(length(text)) * 100.0::double / (select sum(length(text)) from documents), 2) as coverage_pct from chunks group by rollup(boundary_kind)"),
+    "chunk_summary": _rec(f"{_DOCS}, {chunk_sql.WHOLE}, {chunk_sql.chunks()}, sizes as (select length(text) as x, row_number() over (order by length(text)) - 1 as k, count(*) over () as n from chunks), per as (select x, row_number() over (order by x) - 1 as k, count(*) over () as n from (select count(c.doc_id) as x from docs d left join chunks c using (doc_id) group by d.doc_id)) select " + ", ".join(f"(select x::bigint from {t} where k = least(n - 1, floor({p}::double * n)::bigint)) as {name}_{q}" for t, name, points in (("sizes", "chars", (0.1, 0.5, 0.9, 0.99, 1.0)), ("per", "per_document", (0.5, 0.9, 0.99, 1.0))) for p in points for q in (["max"] if p == 1 else [f"p{round(100 * p)}"])) + ", count(*) as chunks, sum(length(text))::bigint as chars, count(*) filter (segments_merged > 1) as merged_sibling_groups, (select count(*) from docs) as documents, (select sum(length(text))::bigint from docs) as chars_in, round(sum(length(text)) / count(*))::bigint as chars_mean, round(100.0::double * sum(length(text)) / (select sum(length(text)) from docs), 2) as coverage_pct from chunks"),
+    "flagship_search": _rec(f"{_DOCS}, basket as ({duck(BASKET)}), {chunk_sql.WHOLE}, {chunk_sql.chunks()}, {_lex_sql('chunk_id', _CRUMBED, 'chunks')}, hits as (select s.query_id, s.chunk_id, c.act_id, s.score, row_number() over (partition by s.query_id order by s.score desc, s.chunk_id)::int as rank from scored s join chunks c using (chunk_id) join docs d using (doc_id) join basket q on q.query_id = s.query_id where {_PIT}) select query_id, rank, chunk_id, act_id, score from hits where rank <= {K}"),
+    "token_windows": _rec(f"{_DOCS}, {chunk_sql.WHOLE}, {chunk_sql.chunks()}, t as (select doc_id, chunk_index, greatest(1, floor(length(text) / 2.2::double))::int as n from chunks), w as (select doc_id, chunk_index, n as tokens, 0 as c from t where chunk_index = 0 union all select t.doc_id, t.chunk_index, case when w.tokens + t.n <= 2000 then w.tokens + t.n else t.n end, w.c + (w.tokens + t.n > 2000)::int from w join t on t.doc_id = w.doc_id and t.chunk_index = w.chunk_index + 1) select doc_id, c as window_nr, min(chunk_index) as first, max(chunk_index) as last, max(tokens)::int as tokens from w group by doc_id, c"),
+    "chunk_offset_identity": _rec(f"{_DOCS}, {chunk_sql.WHOLE}, {chunk_sql.chunks()} select count(*) as violations from chunks c join docs d using (doc_id) where substr(d.text, char_start::int + 1, (char_end - char_start)::int) <> c.text"),
     "tokenize": f"select doc_id, len(t)::int as tokens, md5(array_to_string(t, ' ')) as digest from (select doc_id, {_tok('text')} as t from documents)",
     "bm25_index": f"{_V}, {_LEX} select term, df from terms",
     "bm25_search": f"{_V}, {_LEX} select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from scored) where rank <= 10",
@@ -284,7 +325,7 @@ ORACLE_SQL = {
     "lexical_overfetch": f"{_V}, {_LEX}, over_ as (select query_id, chunk_id, score from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as k from scored) where k <= 80), {_leg('lex', 10, 'over_')} select * from lex",
     "rrf_hybrid": f"{_FUSE} select * from fused where rank <= 10",
     "rrf_fuse": f"{_FUSE} select * from fused",
-    "random_control": f"{_V} select query_id, chunk_id, act_id, 0.0::double as score, rank from (select query_id, doc_id as chunk_id, act_id, row_number() over (partition by query_id order by md5(concat('{SEED}:', query_id, ':', doc_id)), doc_id)::int as rank from docs, basket) where rank <= 10",
+    "random_control": f"{_V}, {_RANDOM} select query_id, chunk_id, act_id, 0.0::double as score, rank from r10",
     "cap_per_act": f"{_FUSE}, {_capped('c', 'fused', 2)} select * from c",
     "collapse_by_act": f"{_FUSE}, {_capped('c', 'fused', 1)} select * from c",
     "rerank_overlap": f"{_PIPE} select * from reranked",
@@ -293,7 +334,7 @@ ORACLE_SQL = {
     "first_match_rank": f"{_FUSE}, {_GOLD} select query_id, min(rank) as first from fused join (select distinct query_id, chunk_id from gold) using (query_id, chunk_id) group by 1",
     "ir_metrics": f"{_FUSE}, {_GOLD} {_metrics('fused', 'act')} union all {_metrics('fused', 'chunk')}",
     "ir_metrics_by_type": f"{_FUSE}, {_GOLD} {_metrics('fused', 'act', by='type')} union all {_metrics('fused', 'chunk', by='type')}",
-    "eval_modes": f"{_FUSE}, {_GOLD}, d10 as (select * from dense where rank <= 10), l10 as (select * from lex where rank <= 10), h10 as (select * from fused where rank <= 10), r10 as (select * from (select query_id, doc_id as chunk_id, act_id, row_number() over (partition by query_id order by md5(concat('{SEED}:', query_id, ':', doc_id)), doc_id)::int as rank from docs, basket) where rank <= 10) " + " union all ".join(_metrics(t, "act", f"'{m}' as mode, ") for m, t in (("dense", "d10"), ("lexical", "l10"), ("hybrid", "h10"), ("random", "r10"))),
+    "eval_modes": f"{_FUSE}, {_GOLD}, d10 as (select * from dense where rank <= 10), l10 as (select * from lex where rank <= 10), h10 as (select * from fused where rank <= 10), {_RANDOM} " + " union all ".join(_metrics(t, "act", f"'{m}' as mode, ") for m, t in (("dense", "d10"), ("lexical", "l10"), ("hybrid", "h10"), ("random", "r10"))),
     "shuffled_gold": f"{_V}, {_GOLD}, g as (select query_id, act_id, row_number() over (order by md5(concat('{SEED}:', query_id)), query_id) as k, count(*) over () as n from (select query_id, min(act_id) as act_id from gold group by 1)), p as (select a.query_id, a.act_id, b.act_id as shuffled, row_number() over (partition by a.query_id order by (b.k - a.k + a.n) % a.n) as o from g a left join g b on b.act_id <> a.act_id) select query_id, act_id, shuffled from p where o = 1",
     "overfetch_probe": f"{_V}, {_LEX}, {_GOLD}, w as (select g.query_id, g.chunk_id from gold g join docs d on d.doc_id = g.chunk_id join basket q on q.query_id = g.query_id where q.as_of is not null and {_PIT}), r as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scored), f as (select a.query_id, min(r.rank) as first from (select distinct query_id from w) a left join w on w.query_id = a.query_id left join r on r.query_id = w.query_id and r.chunk_id = w.chunk_id group by 1) select depth::int as depth, round(avg(coalesce((first <= depth * 10)::int::double, 0)), 4) as share from f, (values (1), (2), (4), (8), (16)) x(depth) group by 1",
     "ablation": f"{_PIPE}, {_GOLD}, v1 as (select * from fused where rank <= 10), v2 as (select * from capped where rank <= 10), v3 as (select * from reranked where rank <= 10), v4 as (select * from collapsed where rank <= 10) " + " union all ".join(_metrics(t, "act", f"'{m}' as variant, ") for m, t in (("fusion", "v1"), ("cap", "v2"), ("rerank", "v3"), ("dedup", "v4"))),
