@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.dates import midpoint
+from papyra.functions.union import union_all
 
 #: Fixed value: a title's type, body, date and number.
 TITLE = r"^([А-ЯЁ][а-яё]+)\s+(.+?)\s+от\s+(\d{2}\.\d{2}\.\d{4})(?:\s+N\s+(\S+))?"
@@ -63,3 +64,44 @@ def split(queries: DataFrame, seed: int, share: float = 0.4) -> DataFrame:
 
 def counts(queries: DataFrame) -> DataFrame:
     return queries.groupBy("type").agg(F.count("*").alias("n"))
+
+
+def temporal_pairs(editions: DataFrame, chunks: DataFrame, seed: int, least_chars: int = 400) -> DataFrame:
+    """(act_id, doc_id, as_of, which, place, text): both ends of acts' chains, with what a question is made from.
+
+    The text is the edition's first chunk of least_chars or more; an act goes if either end has none.
+    Acts are in seeded order; an act's two editions follow each other.
+    """
+    text = chunks.where(F.length("text") >= least_chars).groupBy("doc_id").agg(F.min_by("text", "chunk_index").alias("text"))
+    rows = temporal(editions).join(text, "doc_id")
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("act_id"))).where("n = 2").drop("n")
+    return rows.withColumn("place", F.struct(seeded(seed, "act_id").alias("h"), "act_id", "which"))
+
+
+def temporal_semantic(pairs: DataFrame, made: DataFrame, count: int) -> DataFrame:
+    """The first `count` queries, in the pairs' order, for which made(doc_id, question) has a question.
+
+    A query does not name its act: the question and the date find it. rejected() counts the others.
+    """
+    rows = pairs.join(made.where("trim(question) <> ''"), "doc_id").orderBy("place").limit(count)
+    position = F.when(F.col("which") == "first", 0).otherwise(1)
+    return rows.select(
+        F.concat_ws("-", F.lit("tsem"), "act_id", position).alias("query_id"), F.lit("temporal_semantic").alias("type"),
+        F.concat(F.trim("question"), F.lit(" (as of "), "as_of", F.lit(")")).alias("query"), "act_id", "doc_id", "as_of",
+    )
+
+
+def rejected(asked: DataFrame, made: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(asked, rejected): how many texts gave no question."""
+    answered = made.where("trim(question) <> ''").select(key).distinct().withColumn("ok", F.lit(True))
+    return asked.select(key).distinct().join(answered, key, "left").agg(F.count("*").alias("asked"), F.count_if(F.col("ok").isNull()).alias("rejected"))
+
+
+QUERY = ("query_id", "type", "query", "act_id", "doc_id", "as_of")
+
+
+def assembled(sets: list[DataFrame], seed: int) -> DataFrame:
+    """The union of typed query sets with their part (dev or test); a column that a set lacks is null."""
+    kinds = {"query_id": "string", "type": "string", "query": "string", "act_id": "long", "doc_id": "long", "as_of": "string"}
+    rows = [s.select(*[(F.col(c) if c in s.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in QUERY]) for s in sets]
+    return split(union_all(rows), seed)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.functions.stats import pct, quantiles
 from papyra.functions.text import strip
 from papyra.functions.union import union_all
 
@@ -245,12 +246,26 @@ def chunk_documents(docs: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFr
 
 
 def chunk_stats(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """(boundary_kind, chunks, chars, docs, coverage_pct): by kind, and over all where kind is null."""
+    """(boundary_kind, chunks, chars, longest, coverage_pct): by kind, and over all where kind is null."""
     total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("all"))
     out = chunks.rollup("boundary_kind").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).cast("long").alias("chars"), F.max(F.length("text")).alias("longest"))
     return out.crossJoin(F.broadcast(total)).select("boundary_kind", "chunks", "chars", "longest", F.round(F.col("chars") * F.lit(100.0) / F.nullif("all", F.lit(0)), 2).alias("coverage_pct"))
 
 
+def chunk_summary(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: documents, chunks and characters, coverage, nearest-rank sizes, chunks a document (those
+    without any count 0) and groups of merged siblings."""
+    size = F.length("text")
+    row = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("chars"), F.count_if(F.col("segments_merged") > 1).alias("merged_sibling_groups"))
+    whole = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("chars_in"))
+    per = docs.select("doc_id").join(chunks.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    out = row.crossJoin(F.broadcast(whole))  # one row each, as all below
+    for name, frame, column, points in (("chars", chunks.select(size.alias("x")), "x", (0.1, 0.5, 0.9, 0.99, 1.0)), ("per_document", per, "n", (0.5, 0.9, 0.99, 1.0))):
+        found = quantiles(frame, column, list(points), allow_empty=True).groupBy().pivot("point", list(points)).agg(F.first("value"))
+        out = out.crossJoin(F.broadcast(found.select(*[F.col(f"`{p}`").alias(f"{name}_{'max' if p == 1 else f'p{round(100 * p)}'}") for p in points])))
+    return out.withColumns({"chars_mean": F.coalesce(F.round(F.col("chars") / F.nullif("chunks", F.lit(0))).cast("long"), F.lit(0)), "coverage_pct": pct(F.col("chars"), F.col("chars_in"))})
+
+
 def offset_violations(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks whose text is not the document's text at their offsets."""
     whole = docs.select("doc_id", F.col("text").alias("whole"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,3 +135,22 @@ def label_words(docs: DataFrame, k: int = 15, contents: str = "contents") -> Dat
     """The k most frequent first words of outline labels, lower-cased, without final dots."""
     first = F.rtrim(F.lower(F.split(F.trim("label"), r"\s+")[0]), F.lit("."))
     return frequencies(docs.select(F.explode(f"{contents}.label").alias("label")).where("trim(label) <> ''").select(first.alias("word")), "word", k)
+
+
+def full_pass(editions: DataFrame, dates: tuple[str, ...] = PIT_DATES, columns: tuple[str, ...] = ("begin_date", "end_date", "status", "text_hash"), k: int = 10) -> dict[str, DataFrame]:
+    """Every profile of the editions by name, from one read: only their columns are kept, in memory or on disk.
+
+    throughput is (records, seconds, records_per_s) of filling that projection, the pass over the source.
+    The caller unpersists `editions` when done.
+    """
+    needed = ["act_id", "doc_id", "idx", "n_editions", "shard", "is_current", "is_stub", "chars", "status", "doc_type", "date", "begin_date", "end_date", "end_sentinel", "text_hash"]
+    rows = editions.select(*[c for c in needed if c in editions.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    began = time.perf_counter()
+    n = rows.count()
+    took = time.perf_counter() - began
+    out = {
+        "totals": totals(rows), "presence": presence(rows, [c for c in columns if c in rows.columns]), "chains": chains(rows),
+        "duplicates": duplicates(rows), "pit_readings": pit_readings(rows, dates), "pit_by_act": pit_by_act(rows, dates), "statuses": frequencies(rows, "status", k),
+    }
+    rate = editions.sparkSession.createDataFrame([(n, round(took, 3), round(n / max(took, 1e-9), 1))], "records long, seconds double, records_per_s double")
+    return out | {"throughput": rate, "editions": rows}

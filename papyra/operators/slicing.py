@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions.stats import pct
 from papyra.functions.union import union_all
+from papyra.sources import sidecars
 
 #: Bits of a sidecar row's flags.
 FLAG_STUB, FLAG_CONTENTS, FLAG_CURRENT, FLAG_DUPLICATE, FLAG_DIGEST = 1, 2, 4, 8, 16
@@ -91,3 +92,21 @@ def mass_profile(editions: DataFrame, top: tuple[int, ...] = (1, 8), marks: tupl
     ).crossJoin(F.broadcast(largest))  # one row each; fmt: skip
     first = lambda k: F.aggregate(F.slice("l", 1, k), F.lit(0).cast("long"), lambda a, x: a + x)
     return row.select("acts", "largest", "mean", *[pct(first(k), F.col("all")).alias(f"top{k}_pct") for k in top], *[pct(F.col(f"c{m}"), F.col("all")).alias(f"upto{m}_pct") for m in marks])
+
+
+def slice_rows(lines: DataFrame, chosen: DataFrame, editions: DataFrame) -> DataFrame:
+    """(shard, doc_id, line_no, line, length, flags, text_hash) of all editions of chosen(act_id): a slice's records.
+
+    lines(shard, line_no, line) are the corpus; each record is looked at once, by its peeked id.
+    """
+    marks = flags(editions.join(chosen.select("act_id").distinct(), "act_id", "left_semi")).select("doc_id", "flags", F.col("hash").alias("text_hash"))
+    rows = peek_doc_id(lines.select("shard", "line_no", "line")).join(marks, "doc_id")
+    return rows.withColumn("length", F.octet_length("line").cast("long") + 1)
+
+
+def write_slice(rows: DataFrame, dest: str) -> DataFrame:
+    """slice_rows as shard files of JSON lines beside their sidecars in dest; (shard, records, bytes).
+
+    A shard is written by one task that streams its rows in order; neither it nor the driver holds a shard.
+    """
+    return sidecars.write_shards(rows, dest)

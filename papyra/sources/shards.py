@@ -10,7 +10,9 @@ from __future__ import annotations
 import io
 import os
 import re
+import subprocess
 import tarfile
+import threading
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -18,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import stores
+
 #: How many shards a corpus has, and what their files are called.
 SHARDS = 28
 LINE_SCHEMA = "shard int, line_no long, offset long, length int, line string"
 BATCH = 2048
+#: The program that unpacks where the zstandard library is missing.
+ZSTD = "zstd"
 
 
 def shard_name(index: int) -> str:
@@ -48,12 +54,40 @@ def wanted(shards: Iterable[int] | None, total: int = SHARDS) -> list[int]:
 
 @contextmanager
 def _archive(path: str) -> Iterator[tarfile.TarFile]:
-    import zstandard
-
-    with open(path, "rb") as raw, zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as plain, tarfile.open(fileobj=io.BufferedReader(plain, 1 << 20), mode="r|") as tar:
+    with stores.opened(path) as raw, _plain(raw) as plain, tarfile.open(fileobj=plain, mode="r|") as tar:
         yield tar
 
 
+@contextmanager
+def _plain(raw) -> Iterator:
+    """The unpacked stream: by the library, or by the zstd program where that is not installed."""
+    try:
+        import zstandard
+    except ImportError:
+        zstandard = None
+    if zstandard:
+        with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as plain:
+            yield io.BufferedReader(plain, 1 << 20)
+        return
+    with subprocess.Popen([ZSTD, "-dc", "-q"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as program:
+        feeder = threading.Thread(target=_feed, args=(raw, program.stdin), daemon=True)
+        feeder.start()
+        try:
+            yield program.stdout
+        finally:  # most readers stop early
+            program.kill()
+            feeder.join()
+
+
+def _feed(raw, sink) -> None:
+    try:
+        while part := raw.read(1 << 20):
+            sink.write(part)
+        sink.close()
+    except OSError:  # the reader is done
+        pass
+
+
 def _lines(shard: int, f: Iterable[bytes]) -> Iterator[tuple]:
     at = 0
     for k, raw in enumerate(f):
@@ -85,24 +119,25 @@ class _Shard(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         text = options.get("shards")
         self.shards = wanted([int(x) for x in text.split(",")] if text else None, int(options.get("total", SHARDS)))
-        if not os.path.exists(self.path):
+        self.kind = stores.kind(self.path)
+        if self.kind is None:
             raise FileNotFoundError(self.path)
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.isdir(self.path):
+        if self.kind == "dir":
             there = [(k, f"{self.path}/{shard_name(k)}") for k in self.shards]
-            return [_Shard(p, [k]) for k, p in there if os.path.exists(p)]
+            return [_Shard(p, [k]) for k, p in there if stores.kind(p)]
         if not self.path.endswith(".zst"):
             raise ValueError(f"neither a directory nor a .zst archive: {self.path}")
         return [_Shard(self.path, self.shards)]
 
     def read(self, part: _Shard) -> Iterator[pa.RecordBatch]:
         if part.path.endswith(".jsonl"):
-            with open(part.path, "rb") as f:
-                yield from _batches(_lines(part.shards[0], f))
+            with stores.opened(part.path) as f:
+                yield from _batches(_lines(part.shards[0], io.BufferedReader(f, 1 << 20)))
             return
         left = set(part.shards)
         with _archive(part.path) as tar:

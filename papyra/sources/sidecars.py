@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stores
+from .shards import shard_name, sidecar_name
+
 # Fixed format: offset u64, length u32, doc_id u32, flags u8, three bytes of padding, text hash u64.
 ROW = np.dtype([("offset", "<u8"), ("length", "<u4"), ("doc_id", "<u4"), ("flags", "u1"), ("pad", "V3"), ("text_hash", "<u8")])
 SCHEMA = "shard int, line_no long, offset decimal(20,0), length long, doc_id long, flags int, text_hash decimal(20,0)"
@@ -53,24 +57,66 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select(shard.alias("shard"), "content").mapInArrow(run, SCHEMA)
 
 
-def write(rows: DataFrame, dest: str) -> None:
-    """One .oix file a shard in a local folder, rows in the order of their offsets."""
-    import os
+def _streams(rows: DataFrame, columns: list[str], dest: str, each) -> DataFrame:
+    """each(shard, batches) once a shard, in a task that streams the shard's rows in the order of line."""
+    dealt = rows.select("shard", *columns).repartition("shard").sortWithinPartitions("shard", columns[0])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[int, pa.RecordBatch]]:
+            for b in batches:
+                shard = b.column("shard").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+                for s, e in zip(cuts, cuts[1:]):
+                    if e > s:
+                        yield int(shard[s]), b.slice(s, e - s)
 
-    from .shards import sidecar_name
+        for shard, group in itertools.groupby(parts(), key=lambda x: x[0]):
+            n, size = each(shard, (b for _, b in group))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n]), pa.array([size])], ["shard", "records", "bytes"])
 
-    os.makedirs(dest, exist_ok=True)
+    return dealt.mapInArrow(run, "shard int, records long, bytes long")
 
-    def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by("offset")
-        shard = t.column("shard")[0].as_py()
-        part = f"{dest}/.{sidecar_name(shard)}.{os.getpid()}"
-        with open(part, "wb") as f:
-            f.write(pack({k: int(v) for k, v in r.items()} for r in t.to_pylist()))
-        os.replace(part, f"{dest}/{sidecar_name(shard)}")
-        return pa.table({"shard": pa.array([shard], pa.int32()), "rows": [t.num_rows]})
 
-    rows.groupBy("shard").applyInArrow(one, "shard int, rows long").collect()
+def _put(batch: Iterable[dict], sink) -> None:
+    sink.write(pack({k: int(r[k]) for k in LIMITS} for r in batch))
+
+
+def write(rows: DataFrame, dest: str) -> None:
+    """One .oix file a shard in a folder of any store that pyarrow knows, rows in the order of their offsets."""
+
+    def one(shard: int, batches: Iterable[pa.RecordBatch]) -> tuple[int, int]:
+        n = 0
+        with stores.replacing(f"{dest}/{sidecar_name(shard)}") as sink:
+            for b in batches:
+                _put(b.to_pylist(), sink)
+                n += b.num_rows
+        return n, n * ROW.itemsize
+
+    stores.make(dest)
+    _streams(rows, ["offset", *(k for k in LIMITS if k != "offset")], dest, one).collect()  # a row a shard
+
+
+def write_shards(rows: DataFrame, dest: str) -> DataFrame:
+    """(shard, records, bytes) of rows(shard, line_no, line, doc_id, flags, text_hash) written as JSON lines
+    with a sidecar each; offsets run from 0 in the order of line_no."""
+
+    def one(shard: int, batches: Iterable[pa.RecordBatch]) -> tuple[int, int]:
+        n = at = 0
+        with stores.replacing(f"{dest}/{shard_name(shard)}") as text, stores.replacing(f"{dest}/{sidecar_name(shard)}") as index:
+            for b in batches:
+                entries = []
+                for r in b.to_pylist():
+                    raw = r["line"].encode() + b"\n"
+                    text.write(raw)
+                    entries.append({"offset": at, "length": len(raw), "doc_id": r["doc_id"], "flags": r["flags"], "text_hash": r["text_hash"]})
+                    at += len(raw)
+                _put(entries, index)
+                n += b.num_rows
+        return n, at
+
+    stores.make(dest)
+    out = _streams(rows, ["line_no", "line", "doc_id", "flags", "text_hash"], dest, one)
+    return rows.sparkSession.createDataFrame(out.collect(), out.schema)  # a row a shard; the files are written once
 
 
 def read_line(path: str, offset: int, length: int, keep_newline: bool = False) -> bytes:
