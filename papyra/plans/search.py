@@ -162,6 +162,14 @@ def _pool(s, d):
     return bk.synthetic_pool(_chunks(s, d).where("text is not null"), 40, SEED)
 
 
+def _assembled(s, d):
+    """Queries by attributes, and by the content of an act's first and last edition, in one basket."""
+    pairs = bk.temporal_pairs(docs(s, d), docs(s, d).withColumn("chunk_index", F.lit(0)), SEED)
+    made = pairs.where("doc_id % 8 < 4").select("doc_id", F.concat(F.lit("What of "), "doc_id", F.lit("?")).alias("question"))
+    whole = bk.assembled([bk.metadata(_titled(s, d), 60, SEED, TITLED), bk.temporal_semantic(pairs, made, 40)], SEED)
+    return whole.groupBy("type", "part").agg(F.count("*").alias("n"), F.count("as_of").alias("dated"))
+
+
 TITLED = r"^(\S+)\s+(.+?)\s+of\s+(\S+)(?:\s+N\s+(\S+))?"
 
 
@@ -185,6 +193,8 @@ QUERIES = {
     "chunk_offset_identity": lambda s, d: chunking.offset_violations(chunking.chunk_documents(docs(s, d)), docs(s, d)).agg(F.count("*").alias("violations")),
     "tokenize": lambda s, d: docs(s, d).select("doc_id", tx.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("tokens"), F.md5(F.array_join("t", " ")).alias("digest")),
     "bm25_index": lambda s, d: _built(s, d).terms,
+    "bm25_postings": lambda s, d: _index(s, d).postings.select("chunk_id", "term", "tf", "dl"),
+    "bm25_statistics": lambda s, d: _index(s, d).stats.select("n", F.round("avgdl", 9).alias("avgdl")),
     "bm25_search": lambda s, d: lexical.search(_index(s, d), basket(s, d), K),
     "l2_normalize": lambda s, d: _vectors(s, d).select("chunk_id", F.round(vx.norm(vx.unit(F.col("v"))), 9).alias("norm"), F.round(F.element_at(vx.unit(F.col("v")), 1), 9).alias("first")),
     "mrl_truncate": lambda s, d: _vectors(s, d).select("chunk_id", F.round(F.element_at(vx.truncated(F.col("v"), 16), 16), 9).alias("last")),
@@ -215,6 +225,8 @@ QUERIES = {
     "basket_metadata": lambda s, d: bk.metadata(_titled(s, d), 60, SEED, TITLED),
     "interval_midpoint": lambda s, d: editions(s, d).select("doc_id", midpoint(F.col("begin_date"), F.col("end_date")).alias("as_of")),
     "basket_temporal": lambda s, d: bk.temporal(editions(s, d)),
+    "basket_temporal_pairs": lambda s, d: bk.temporal_pairs(docs(s, d), docs(s, d).withColumn("chunk_index", F.lit(0)), SEED).select("act_id", "doc_id", "as_of", "which", "text"),
+    "basket_assembled": _assembled,
     "basket_synthetic_pool": _pool,
     "stratified_split": lambda s, d: bk.split(basket(s, d), SEED).select("query_id", "type", "part"),
     "basket_counts": lambda s, d: bk.counts(bk.temporal(editions(s, d)).select(F.col("which").alias("type"))),
@@ -288,6 +300,7 @@ _VERIFY = f"{_CHECK}, once as (select distinct answer_id, key, doc_id, char_star
 _STORED = f"with {_VERIFY}, stored as (select *, answer_id % 7 = 0 as refused, case when answer_id % 11 = 0 then 'no answer' end as error from ver)"
 _E = views(editions=EDITIONS)
 _MID = "case when begin_date is null or end_date < begin_date then null when end_date is null then (begin_date::date + 30)::varchar else (begin_date::date + ((end_date::date - begin_date::date) // 2)::int)::varchar end"
+_PAIRS = f"dated as (select act_id, doc_id, text, {_MID.replace('begin_date', 'd.begin_date').replace('end_date', 'd.end_date')} as as_of, row_number() over (partition by act_id order by begin_date, doc_id) as up, row_number() over (partition by act_id order by begin_date desc, doc_id desc) as down, count(*) over (partition by act_id) as n from docs d), ends as (select *, case when up = 1 then 'first' else 'last' end as which from dated where n > 1 and (up = 1 or down = 1) and length(text) >= 400), pairs as (select * from ends qualify count(*) over (partition by act_id) = 2)"
 _NODES = f"with {_SPANS}"
 
 
@@ -312,6 +325,8 @@ ORACLE_SQL = {
     "chunk_offset_identity": _rec(f"{_DOCS}, {chunk_sql.WHOLE}, {chunk_sql.chunks()} select count(*) as violations from chunks c join docs d using (doc_id) where substr(d.text, char_start::int + 1, (char_end - char_start)::int) <> c.text"),
     "tokenize": f"select doc_id, len(t)::int as tokens, md5(array_to_string(t, ' ')) as digest from (select doc_id, {_tok('text')} as t from documents)",
     "bm25_index": f"{_V}, {_LEX} select term, df from terms",
+    "bm25_postings": f"{_V}, {_LEX} select chunk_id, term, tf, dl::int as dl from post",
+    "bm25_statistics": f"{_V}, {_LEX} select n, round(avgdl, 9) as avgdl from st",
     "bm25_search": f"{_V}, {_LEX} select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from scored) where rank <= 10",
     "l2_normalize": "with e as (select vec_id, embedding::double[] as v from embeddings), n as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from e) select vec_id as chunk_id, 1.0::double as norm, round(v[1] / n, 9) as first from n",
     "mrl_truncate": "with e as (select vec_id, (embedding::double[])[1:16] as v from embeddings) select vec_id as chunk_id, round(v[16] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 9) as last from e",
@@ -341,6 +356,8 @@ ORACLE_SQL = {
     "basket_metadata": f"{_E}, o as (select *, row_number() over (partition by act_id order by is_current desc, coalesce(begin_date, '') desc, doc_id desc) as k from editions), p as (select act_id, doc_id, replace(doc_type, ' ', '_') as body, date, row_number() over (order by md5(concat('{SEED}:', act_id)), act_id) - 1 as i from o where k = 1) select concat('meta-', act_id, '-', i % 3) as query_id, 'metadata' as type, case i % 3 when 0 then doc_id::varchar when 1 then concat('order ', doc_id) else concat('order ', body, ' от ', date, ' N ', doc_id) end as query, act_id, doc_id from p where i < 60",
     "interval_midpoint": f"{_E} select doc_id, {_MID} as as_of from editions",
     "basket_temporal": f"{_E}, r as (select *, count(*) over (partition by act_id) as n, row_number() over (partition by act_id order by begin_date, doc_id) as up, row_number() over (partition by act_id order by begin_date desc, doc_id desc) as down from editions where begin_date is not null), x as (select act_id, doc_id, {_MID} as as_of, case when up = 1 then 'first' else 'last' end as which from r where n > 1 and (up = 1 or down = 1)) select * from x where as_of is not null",
+    "basket_temporal_pairs": f"{_V}, {_PAIRS} select act_id, doc_id, as_of, which, text from pairs",
+    "basket_assembled": f"{_V}, {_PAIRS}, sem as (select least(40, count(*)) as n from pairs where doc_id % 8 < 4), meta as (select least(60, count(distinct o_custkey)) as n from orders), t as (select 'metadata' as type, n, 0 as dated from meta union all select 'temporal_semantic', n, n from sem) select type, part, case part when 'dev' then floor(0.4::double * n)::bigint else n - floor(0.4::double * n)::bigint end as n, case when dated = 0 then 0 when part = 'dev' then floor(0.4::double * n)::bigint else n - floor(0.4::double * n)::bigint end as dated from t, (values ('dev'), ('test')) x(part) where n > 0",
     "basket_synthetic_pool": f"{_V}, p as (select act_id, doc_id as chunk_id, md5(concat('{SEED}:', doc_id)) as h from docs where is_current and length(text) >= 900), k as (select *, row_number() over (partition by act_id order by h, chunk_id) as n from p) select act_id, chunk_id, place from (select act_id, chunk_id, row_number() over (order by h, chunk_id)::int as place from k where n <= 2) where place <= 64",
     "stratified_split": f"{_V} select query_id, type, case when row_number() over (partition by type order by md5(concat('{SEED}:', query_id)), query_id) <= floor(0.4 * count(*) over (partition by type)) then 'dev' else 'test' end as part from basket",
     "basket_counts": f"{_E}, r as (select *, count(*) over (partition by act_id) as n, row_number() over (partition by act_id order by begin_date, doc_id) as up, row_number() over (partition by act_id order by begin_date desc, doc_id desc) as down from editions where begin_date is not null) select case when up = 1 then 'first' else 'last' end as type, count(*) as n from r where n > 1 and (up = 1 or down = 1) and {_MID} is not null group by 1",
