@@ -12,6 +12,8 @@ from papyra.functions.union import union_all
 
 #: Term saturation and length normalisation; digits that scores are rounded to.
 K1, B, DIGITS = 1.5, 0.75, 6
+#: Distinct terms of all queries that are broadcast at most.
+BROADCAST = 500_000
 
 
 @dataclass
@@ -23,21 +25,17 @@ class LexicalIndex:
     stats: DataFrame
 
     def write(self, path: str) -> None:
-        """Postings in ranges of term, so that a query's terms read few files; terms and stats from these.
+        """Postings by chunk and, inside a file, by term; terms and stats from these, so texts are read once.
 
-        The texts are tokenised once: postings are staged first, and what follows reads them.
+        A file holds all postings of its chunks: scores of a batch of queries are summed up where they are read.
         """
         spark = self.postings.sparkSession
-        self.postings.write.mode("overwrite").parquet(f"{path}/staged")
-        staged = spark.read.parquet(f"{path}/staged")
-        staged.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
         written = spark.read.parquet(f"{path}/postings")
         written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
         total = written.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
         n = self.stats.select("n")  # the count alone: no text is read
         n.crossJoin(total).select("n", (F.col("total") / F.nullif("n", F.lit(0))).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
-        staged_at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/staged")
-        staged_at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged_at, True)
 
     @classmethod
     def read(cls, spark, path: str) -> LexicalIndex:
@@ -47,13 +45,13 @@ class LexicalIndex:
 def build(chunks: DataFrame, text: str = "text", breadcrumb: str | None = None, stem=None) -> LexicalIndex:
     """Index of chunks(chunk_id, text[, breadcrumb]); the breadcrumb is a line before the text.
 
-    Exploded rows carry the id, the length and one term, not the tokens; outer, so that no filter on
-    their number is inferred, which would tokenise again. Document frequencies count distinct terms of a
-    chunk inside its row.
+    Texts are dealt by chunk_id once; counting a chunk's terms then needs no shuffle of its own. Exploded rows
+    carry the id, the length and one term, not the tokens; outer, so that no filter on their number is inferred,
+    which would tokenise again. Document frequencies count distinct terms of a chunk inside its row.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     body = F.concat_ws("\n", F.col(breadcrumb), body) if breadcrumb else body
-    toks = chunks.select("chunk_id", tokens(body, stem=stem).alias("t"))
+    toks = chunks.select("chunk_id", body.alias("body")).repartition("chunk_id").select("chunk_id", tokens(F.col("body"), stem=stem).alias("t"))
     sized = toks.select("chunk_id", F.size("t").alias("dl"), "t").select("chunk_id", "dl", F.explode_outer("t").alias("term"))
     postings = sized.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")).where("term is not null")
     terms = toks.select(F.explode_outer(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("term is not null")
@@ -71,6 +69,9 @@ def scores(index: LexicalIndex, queries: DataFrame, stem=None) -> DataFrame:
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select("query_id", "term", (F.col("qtf") * idf).alias("weight"), "avgdl")
     tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    # A batch of BROADCAST query terms at most goes to the postings; of a larger one, both sides are shuffled.
+    if asked.limit(BROADCAST + 1).count() <= BROADCAST:
+        weighted = F.broadcast(weighted)
     each = index.postings.join(weighted, "term").select("query_id", "chunk_id", (F.col("weight") * tf).alias("s"))
     return each.groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), DIGITS).alias("score"))
 

@@ -111,7 +111,8 @@ def test_index_is_written_and_read(spark, tmp_path):
     assert read.stats.first()[:] == (4, 5 / 4)
     q = spark.createDataFrame([(1, "alpha beta")], "query_id long, query string")
     assert lexical.search(read, q, 5).collect() == lexical.search(built, q, 5).collect()
-    assert "staged" not in os.listdir(tmp_path / "index")
+    plan = lexical.build(chunks).postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1  # the texts, by chunk
 
 
 def test_exploded_terms_carry_no_array(spark):
