@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="papyra-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return (path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)).rstrip("/")
 
 
 def _state(spark: SparkSession, path: str) -> tuple:
