@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.sources.stored import shared_dir
+
 #: Rows that one numpy step takes at most, and the bytes of text that end it earlier.
 SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
 
@@ -49,17 +49,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where that is unset a new local one, for a local master only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="papyra-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
-
-
 class Scratch:
     """Tables and files of one run, below the shared folder; they go when the JVM ends or by drop()."""
 
