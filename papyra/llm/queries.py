@@ -3,7 +3,7 @@
 from .html_text import op6_html_extraction
 from .langid import OP10_SQL, op10_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
-from .lm import OP1_SQL, op1_kneser_ney, op1_kneser_ney_trigrams
+from .lm import OP1_SQL, op1_kneser_ney, lm_trigrams
 from .neighbours import OP3_SQL, op3_embedding_near_dedup
 from .packing import op5_best_fit_packing
 from .pieces import op2_sentencepiece
@@ -13,7 +13,7 @@ from .spotsigs import op8_spotsigs_fingerprints
 
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
-    "op1_kneser_ney_trigrams": op1_kneser_ney_trigrams,
+    "lm_trigrams": lm_trigrams,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_importance_resampling": op4_importance_resampling,
