@@ -15,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 NO_ID = -(2**63)
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """docs with _d and _t, which name a document: its id (null: the least) and its text's hash."""
-    return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
+def _keys(docs: DataFrame, d: str = "_d", t: str = "_t") -> DataFrame:
+    """docs with d and t, which name a document: its id (null: the least) and its text's hash."""
+    return docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(t, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def words(line: Column) -> Column:
@@ -89,12 +89,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     columns = [c for c in docs.columns if c not in ("lines", "removed")]
     gone = later_copies(docs.select("doc_id", "text"), min_words, scratch)
-    gone = gone.withColumn("gone", F.array_sort("gone"))
-    both = _keys(docs.select(*columns)).join(gone, ["_d", "_t"], "left")
-    both = both.withColumn("_l", F.split("text", "\n", -1))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("gone")), lambda i: F.get("_l", i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = {"text": text, "lines": F.coalesce(F.size("_l"), F.lit(0)), "removed": F.coalesce("gone", F.array().cast("array<int>"))}
+    d, t, g, split = fresh(docs, "line_doc", "line_text", "line_gone", "line_split")
+    gone = gone.select(F.col("_d").alias(d), F.col("_t").alias(t), F.array_sort("gone").alias(g))
+    both = _keys(docs.select(*columns), d, t).join(gone, [d, t], "left").withColumn(split, F.split("text", "\n", -1))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(g)), lambda i: F.get(split, i))
+    text = F.when(F.col(g).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = {"text": text, "lines": F.coalesce(F.size(split), F.lit(0)), "removed": F.coalesce(g, F.array().cast("array<int>"))}
     return both.select(*[out[c].alias(c) if c == "text" else c for c in columns], out["lines"].alias("lines"), out["removed"].alias("removed"))
 
 
