@@ -43,7 +43,9 @@ def later_copies(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame
     # Dealt by document before equal rows are merged: else the merge would bind the join to its keys.
     known = lines.join(often, ["a", "b"]).repartition("_d", "_t").distinct().withColumn("run", F.col("pos") - F.row_number().over(doc))
     run = Window.partitionBy("_d", "_t", "run").orderBy("pos")
-    known = known.withColumn("upto", F.sum("w").over(run)).withColumn("n0", F.struct("a", "b"))
+    # A stretch of repeated lines with too few words in all holds no run that goes.
+    whole = F.sum("w").over(Window.partitionBy("_d", "_t", "run"))
+    known = known.withColumns({"upto": F.sum("w").over(run), "whole": whole}).where(F.col("whole") >= min_words).drop("whole").withColumn("n0", F.struct("a", "b"))
     depth = min_words.bit_length() - 1
     for k in range(depth):
         other = F.lead(f"n{k}", 1 << k).over(run)
