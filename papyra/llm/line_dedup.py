@@ -76,6 +76,8 @@ def later_copies(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame
     named = named.select("_d", "_t", "s", "e", (F.col("e") - F.col("s")).alias("m"), F.col("x")[F.col("k")].alias("x"), F.col("y")[F.col("k")].alias("y"))
     named = scratch.table(named, "spans")
     first = named.groupBy("m", "x", "y").agg(F.min(F.struct("_d", "_t", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that the join is of two plain shuffles and a hot name's rows can be split.
+    first = scratch.table(first, "firsts")
     copies = named.join(first, ["m", "x", "y"]).where(F.struct("_d", "_t", "s") > F.col("first"))
     return copies.groupBy("_d", "_t").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("s", "e")))).alias("gone"))
 
