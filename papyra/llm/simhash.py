@@ -2,7 +2,8 @@
 
 Fingerprints are made in Arrow batches (xxhash and numpy). Equal fingerprints collapse to one node at
 once, so a group of exact copies costs one row. Two fingerprints of up to four differing bits agree in at
-least two of six bit blocks, so each fingerprint is dealt to the fifteen buckets named by two blocks;
+least two of six bit blocks (three of seven, ...: by the size of the corpus), so each fingerprint is dealt to
+the fifteen buckets named by two blocks;
 inside a bucket every fingerprint has a table of Hamming distances to reference fingerprints (pivots), a
 pair is discarded where one coordinate differs by more than the threshold (triangle inequality), and the
 survivors are verified bit by bit. Large buckets are split into tiles of bounded size. Each tile emits
@@ -24,6 +25,8 @@ from .common import Scratch, fresh, held, slices, texts_as_bytes
 from .graph import connected_components
 
 SEED, TILE = 42, 256
+#: Unlike fingerprints that share a bucket by chance at most, as far as five blocks reach.
+FULL = 32
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -112,20 +115,36 @@ def linked(key: np.ndarray, side: np.ndarray, fp: np.ndarray, max_bits: int, ref
     return nodes[np.array(a_out, np.int64)], nodes[np.array(b_out, np.int64)]
 
 
-def near_links(fps: DataFrame, max_bits: int = 4, n_pivots: int = 24) -> DataFrame:
+def equal_blocks(n: int, max_bits: int = 4) -> int:
+    """How many blocks a key is made of, so that a bucket of n fingerprints holds FULL by chance at most."""
+    equal = 2
+    while equal < 5 and n > FULL << (64 * equal // (max_bits + equal)):
+        equal += 1
+    return equal
+
+
+def near_links(fps: DataFrame, max_bits: int = 4, n_pivots: int = 24, equal: int | None = None) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints (column fp) within max_bits of each other.
 
-    Not every linked pair is an edge, but every linked pair is connected by edges. With max_bits + 2
-    blocks two blocks are always equal; the tables and their bit fields follow from that.
+    Not every linked pair is an edge, but every linked pair is connected by edges. With max_bits + equal
+    blocks, `equal` of them are the same in both; the tables and their bit fields follow from that. More equal
+    blocks mean longer keys and more tables; equal_blocks chooses by the number of fingerprints.
     """
-    blocks = max_bits + 2
+    equal = equal or equal_blocks(fps.count(), max_bits)
+    blocks = max_bits + equal
     bounds = [round(k * 64 / blocks) for k in range(blocks + 1)]
 
     def field(k: int):
         lo, n = bounds[k], bounds[k + 1] - bounds[k]
         return F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << n) - 1))
 
-    keys = [F.lit(t << 56) + F.shiftleft(field(x), bounds[y + 1] - bounds[y]) + field(y) for t, (x, y) in enumerate(combinations(range(blocks), 2))]
+    def named(table: int, chosen: tuple[int, ...]):
+        key = F.lit(0).cast("long")
+        for k in chosen:
+            key = F.shiftleft(key, bounds[k + 1] - bounds[k]) + field(k)
+        return F.lit(table << 54) + key
+
+    keys = [named(t, chosen) for t, chosen in enumerate(combinations(range(blocks), equal))]
     dealt = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     tiled = (

@@ -72,11 +72,13 @@ def test_simhash_links_dense_groups_and_all_distances(spark):
     base = [rng.getrandbits(64) for _ in range(20)]
     prints = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(60)} | {base[0] ^ (1 << k) ^ (1 << j) for k in range(40) for j in range(k)})
     df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
-    edges = {(int(np.int64(r.a).astype(np.uint64)), int(np.int64(r.b).astype(np.uint64))) for r in simhash.near_links(df).collect()}
     at = {p: k for k, p in enumerate(prints)}
-    assert all((a ^ b).bit_count() <= 4 for a, b in edges)
     want = components(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
-    assert components(len(prints), [(at[a], at[b]) for a, b in edges]) == want
+    for equal in (None, 3, 5):
+        edges = {(int(np.int64(r.a).astype(np.uint64)), int(np.int64(r.b).astype(np.uint64))) for r in simhash.near_links(df, equal=equal).collect()}
+        assert all((a ^ b).bit_count() <= 4 for a, b in edges)
+        assert components(len(prints), [(at[a], at[b]) for a, b in edges]) == want
+    assert [simhash.equal_blocks(n) for n in (0, 10**6, 10**9, 10**10, 10**14)] == [2, 2, 3, 4, 5]
 
 
 def test_vectors(spark):
