@@ -32,7 +32,7 @@ log = logging.getLogger(__name__)
 
 NEIGHBOURS, WINDOW, ORDERS, CODE_BITS, TILE = 16, 32, 8, 14, 256
 #: How often a saturated list is enlarged at most; parts that a node's neighbours are ranked in before they meet.
-ENLARGED, SALT = 4, 16
+ENLARGED, SALT = 3, 16
 #: The audit's blocks hold so many numbers; a label of several tiles is dealt to this many blocks at least.
 BLOCK_VALUES, SPREAD = 1 << 20, 6
 #: Neighbours below this cosine are not kept for the walk; what it then misses is left to the audit.
@@ -187,7 +187,7 @@ def _lists(pairs: DataFrame, threshold: float, room: int) -> DataFrame:
     the `room` best that are none. Neighbours are ranked in SALT parts first, so that a node which many
     others have near does not bring all of them to one task."""
     once = pairs.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("link", F.col("sim") >= threshold)
-    most = max(NEIGHBOURS, room)
+    most = F.when(F.col("link"), NEIGHBOURS).otherwise(max(NEIGHBOURS, room))
     part = Window.partitionBy("a", "link", F.pmod(F.xxhash64("b"), F.lit(SALT))).orderBy(F.desc("sim"), "b")
     few = once.withColumn("k", F.row_number().over(part)).where(F.col("k") <= most)
     best = Window.partitionBy("a").orderBy(F.desc("sim"), "b")

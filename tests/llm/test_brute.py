@@ -161,14 +161,16 @@ def test_bridge_between_dense_cores(spark):
 
 def test_audit_of_a_share_measures_and_raises(spark, monkeypatch):
     rng = np.random.default_rng(6)
-    a = rng.standard_normal((1500, 32)) + 1
+    a = rng.standard_normal((700, 32)) + 1
     x = np.concatenate([a, a + rng.standard_normal(a.shape) * 0.02])
     df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     out, seen = neighbours.audited(df, audit_share=0.3)
-    assert 0 < seen["links"] < 1500 and seen["recall"] >= 0.9 and out.where("n_links > 0").count() >= 0.9 * len(x)
-    assert neighbours.audited(df)[1]["links"] == 1500
+    assert 0 < seen["links"] < 700 and seen["recall"] >= 0.9 and out.where("n_links > 0").count() >= 0.9 * len(x)
+    assert neighbours.audited(df)[1]["links"] == 700
     for name, value in (("ORDERS", 1), ("WINDOW", 1), ("ENLARGED", 0)):
         monkeypatch.setattr(neighbours, name, value)
+    apart = np.concatenate([a, a + rng.standard_normal(a.shape) * 0.15])
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(apart)], "vec_id long, embedding array<double>, label int")
     with pytest.raises(neighbours.RecallError):
         neighbours.audited(df, rounds=0, audit_share=0.3)
 
@@ -453,7 +455,7 @@ def word_tokenizer():
     return tok
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aBthn 's12.,\n\t\x00\x1c\x85\u2003éÉßİΣς’“—漢字😀e\u0301<|>"), max_size=40), max_size=5))
 def test_encoder_equals_the_tokenizer(batch):
     import public_tokenizers
@@ -462,7 +464,7 @@ def test_encoder_equals_the_tokenizer(batch):
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(path).encode(batch)] == [tok.encode(x, add_special_tokens=False).ids for x in batch]
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aethn o\nÉß漢😀'12.,▁"), max_size=60), max_size=6))
 def test_pieces_equal_the_library(batch):
     import public_tokenizers
@@ -529,7 +531,7 @@ def test_spotsigs_join(spark, docs, rows):
     anchors = spotsigs.learn_anchors(docs, 40)
     sets = [plain_spots(x, set(anchors)) for x in texts]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for threshold in (0.5, 0.8, 1.0):
+    for threshold in (0.5, 0.8):
         near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= threshold - 1e-12]
         assert near
         got = {r.doc_id: r for r in spotsigs.near_duplicates(df, threshold, anchors).collect()}
