@@ -96,9 +96,9 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
         rest = queries.where(F.col("query_id") > block[-1].query_id)
 
 
-def lexical_hits(index: lexical.LexicalIndex, queries: DataFrame, meta: DataFrame, k: int, overfetch: int | None = None) -> DataFrame:
-    """BM25 hits in force. Exact: filter, then rank. With overfetch m: rank, keep k * m, filter, keep k."""
-    found = lexical.scores(index, queries)
+def lexical_hits(index: lexical.LexicalIndex, queries: DataFrame, meta: DataFrame, k: int, overfetch: int | None = None, stem=None) -> DataFrame:
+    """BM25 hits in force, terms stemmed as the index's are. Exact: filter, then rank. With overfetch m: rank, keep k * m, filter, keep k."""
+    found = lexical.scores(index, queries, stem)
     if overfetch:
         found = lexical.top(found, k * overfetch).drop("rank")
     rows = found.join(meta, "chunk_id").join(queries.select("query_id", "as_of"), "query_id")
