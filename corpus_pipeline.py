@@ -33,9 +33,9 @@ def _like(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes: no letter, no text, or explained by no profile of the languages learned here (a score below what
-    nearly all rows of known language have). A null lang is filled in."""
+    nearly all rows of known language have; every one of them is scored). A null lang is filled in."""
     rows = docs.where(remainder("doc_id", 3) != 1)
-    learned = langid.profiles(rows)
+    learned = Scratch(spark, "language").table(langid.profiles(rows), "profiles")
     least = langid.least_score(rows, learned)
 
     def stage(docs: DataFrame) -> DataFrame:

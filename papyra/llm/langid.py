@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from . import sql
-from .common import held, remainder, slices, texts
+from . import resampling, sql
+from .common import Scratch, held, remainder, slices, texts
 
 ORDERS = (1, 2, 3)
 #: An n-gram is a number: its code points, CODE_BITS each, the first highest, zeros after a short one. Numbers
@@ -181,16 +181,13 @@ def identify(docs: DataFrame, profile: DataFrame, size: int = 300, max_languages
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def least_score(docs: DataFrame, profile: DataFrame, rows: int = 5000, quantile: float = 0.001, share: float = 0.8, most: float = 0.3) -> float:
+def least_score(docs: DataFrame, profile: DataFrame, quantile: float = 0.001, share: float = 0.8, most: float = 0.3) -> float:
     """What scores less is explained by no profile: `share` of the score that all but the quantile of docs' rows
-    with a language reach, by about `rows` of them (drawn by the hash of their ids, in place), and `most` at
-    most. No rows: 0."""
-    known = docs.where(F.col("lang").isNotNull())
-    n = known.count()
-    drawn = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, rows / max(1, n)) * (1 << 30)))
-    few = known.where(drawn).select("doc_id", F.col("text").cast("string").alias("text"))
-    scores = identify(few, profile).where(F.col("lang_pred") != UNKNOWN).agg(F.percentile("score", quantile)).first()[0]
-    return min(most, share * scores) if scores is not None else 0.0
+    with a language reach, by every one of them that has a letter, and `most` at most. No rows: 0."""
+    known = docs.where(F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"))
+    scores = identify(known, profile).where(F.col("lang_pred") != UNKNOWN).select(F.col("score").alias("key"))
+    found = resampling.quantile(Scratch(docs.sparkSession, "langid").table(scores, "scores"), quantile)
+    return min(most, share * found) if found is not None else 0.0
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

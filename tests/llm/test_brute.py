@@ -270,6 +270,23 @@ def test_language_is_out_of_place_distance(spark, docs, rows):
         assert (out[r.doc_id].lang_pred, out[r.doc_id].score) == (best, 1 - far[best] / (300 * len(mine)) if mine else 0.0)
 
 
+@pytest.mark.parametrize("n", [1, 40, 9000])
+def test_least_score_by_all_rows(spark, docs, rows, n):
+    """The threshold is the quantile of the scores of all rows with a language, against a plain one."""
+    rng = random.Random(6)
+    words = [w for r in rows if r.text and r.lang for w in r.text.split()[:50]]
+    some = [(k, " ".join(rng.choices(words, k=rng.randint(1, 9))), "en") for k in range(n)]
+    some += [(n, None, "en"), (n + 1, "12 34", "en"), (n + 2, "a text of no known language", None)]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string").repartition(3)
+    learned = langid.profiles(docs)
+    scores = [r.score for r in langid.identify(df, learned).where("lang is not null and lang_pred <> 'und'").select("score").collect()]
+    for quantile in (0.001, 0.05):
+        want = np.quantile(scores, quantile)
+        assert math.isclose(langid.least_score(df, learned, quantile=quantile, share=1.0, most=1.0), want, rel_tol=1e-12)
+    assert langid.least_score(df, learned) == pytest.approx(min(0.3, 0.8 * np.quantile(scores, 0.001)), rel=1e-12)
+    assert langid.least_score(df.where("lang is null"), learned) == 0.0
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
