@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm import html_text, langid, line_dedup, lm, neighbours, packing, pieces, resampling, simhash, spotsigs
 from papyra.llm.common import Scratch
+from papyra.llm.graph import connected_components
 
 LONG = "the house of the old man is near a river and it flows " * 6000
 ROWS = [
@@ -196,3 +197,27 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         common.shared_dir(cluster)
+
+
+def test_few_links_make_few_files(spark, monkeypatch):
+    """A round's tables have as many files as their rows ask for, not one a partition of a shuffle."""
+    files, table = {}, Scratch.table
+
+    def counted(self, df, name="t"):
+        out = table(self, df, name)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    monkeypatch.setattr("papyra.llm.graph.TASK_ROWS", 200)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + F.when(F.col("id") % 8 < 7, 1).otherwise(0)).alias("b"))
+        got = {(r.node, r.component) for r in connected_components(edges, Scratch(spark, "test")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {(k, k // 8 * 8) for k in range(400)}
+    assert max(files["large"] + files["small"]) <= 2 < max(files["edges"])
