@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into fixed-length training sequences.
 
-Tokenising is a narrow pass: pre-tokens repeat, so each worker keeps a bounded table from pre-token to ids
-and hands only unknown ones to the tokenizer. Only piece lengths are then dealt into groups of bounded
+Tokenising is a narrow pass: words repeat, so each worker keeps a bounded table from words, and the pre-tokens
+of words that have several, to ids; only unknown ones are split, and handed to the tokenizer's merges. Only piece lengths are then dealt into groups of bounded
 size; each group runs the online algorithm: a fixed number of open bins, their free space in a bitset, the
 tightest bin that fits takes the piece, and when a new bin is needed the fullest open one closes.
 """
@@ -9,11 +9,11 @@ tightest bin that fits takes the piece, and when a new bin is needed the fullest
 from __future__ import annotations
 
 import functools
-import json
 import re
+import struct
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -24,9 +24,9 @@ from tokenizers import Tokenizer
 
 from .common import Scratch, held, slices, texts
 
-#: Pre-tokens that a worker remembers at most in each of two generations; the letters of those remembered
-#: (a longer one is encoded anew); and how many new ones the tokenizer gets at a time.
-REMEMBERED, LONGEST, LEARNED = 350_000, 64, 8192
+#: Words and pre-tokens that a worker remembers at most in each of two generations, and the letters of those
+#: remembered (a longer one is encoded anew in each batch).
+REMEMBERED, LONGEST = 350_000, 64
 #: Below this code point NFC changes nothing and lower() maps each letter by itself.
 PLAIN_END = 0x250
 #: White space of Unicode, at which every pre-token ends; what a key of a word with other letters begins with.
@@ -35,80 +35,91 @@ WHITE, MARK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u
 
 @functools.cache
 def _plain_patterns() -> tuple[re.Pattern, re.Pattern]:
-    """What needs the tokenizer's own splitting, and its split pattern for all other texts."""
+    """What needs the tokenizer's own splitting, as <| does, and its split pattern for all other texts."""
     cats: dict[str, list[str]] = {"L": [], "N": [], "Z": []}
     for c in map(chr, range(PLAIN_END)):
         k = "Z" if c.isspace() else unicodedata.category(c)[0]
         if k in cats:
             cats[k].append(re.escape(c))
     letters, numbers, spaces = ("".join(cats[k]) for k in "LNZ")
-    other = re.compile(r"[^\x00-ɏ]|[\x1c-\x1f]|<\|")
+    other = re.compile(r"[^\x00-\x1b\x20-ɏ]")
     split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
     return other, split
 
 
+@functools.cache
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = sorted(set(range(0x100)).difference(own))
+    return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+class Known(dict):
+    """ids by word or pre-token: what is asked for and not known is made by `make` and remembered."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+        self.older: dict[str, bytes] = {}
+        #: Long ones of the batch at hand.
+        self.rare: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > LONGEST:
+            if word not in self.rare:
+                self.rare[word] = self.make(word)
+            return self.rare[word]
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
+        if len(self) >= REMEMBERED:
+            self.older = {}
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """ids of a text as little-endian 32-bit bytes, equal to the tokenizer's own."""
 
     def __init__(self, path: str, known: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.table: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: The tokenizer's own merges, for pre-tokens that are split and normal already.
+        self.model = self.tokenizer.model
+        self.table = Known(self._learn)
         self.other, self.split = _plain_patterns()
+        self.letters = _byte_letters()
         #: The split pattern above is this tokenizer's; any other file is read by the tokenizer alone.
         self.known = known and path.endswith("word_bpe_49k.json")
-        # The same model for text that is split and normal already: white space separates its pre-tokens.
-        parts = json.loads(self.tokenizer.to_str())
-        parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
-        self.words_only = Tokenizer.from_str(json.dumps(parts))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str], table: dict[str, bytes]) -> None:
-        e = self.words_only.encode(" ".join(words), add_special_tokens=False)
-        of, ids = np.array(e.word_ids, np.int64), np.array(e.ids, dtype="<u4")
-        starts = np.flatnonzero(np.diff(of, prepend=-1))
-        if len(starts) == len(words):
-            raw, ends = ids.tobytes(), np.append(starts[1:], len(ids)) * 4
-            table.update(zip(words, (raw[s:e] for s, e in zip((starts * 4).tolist(), ends.tolist(), strict=True)), strict=True))
-        else:
-            table.update((w, self._whole(w)) for w in words)
-
-    def _pretokens(self, text: str) -> list[str]:
-        """The table's keys of a text: pre-tokens; of a word with other letters MARK (in no pre-token) and the word."""
-        if not self.other.search(text):
-            return self.split.findall(text.lower())
-        out: list[str] = []
-        for word in WHITE.split(text):  # no pre-token crosses white space
-            if self.other.search(word):
-                out.append(MARK + word)
-            else:
-                out += self.split.findall(word.lower())
-        return out
+    def _learn(self, word: str) -> bytes:
+        if word[0] == MARK:
+            return self._whole(word[1:])
+        if not word.isalpha() and len(parts := self.split.findall(word)) != 1:
+            return b"".join(map(self.table.__getitem__, parts))
+        if not word.isascii() or not word.isalpha():  # ASCII letters stand for themselves
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _words(self, text: str) -> list[str]:
+        """The table's keys of a text: words between white space, which no pre-token crosses, in small letters;
+        of a word with other letters MARK (in no other key) and the word."""
+        if "<|" not in text and not self.other.search(text):
+            return text.lower().split()
+        return [MARK + w if "<|" in w or self.other.search(w) else w.lower() for w in WHITE.split(text) if w]
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        split = [self._pretokens(t) if self.known else None for t in batch]
-        seen = set().union(*(x for x in split if x))
-        if len(self.table) + len(seen) > REMEMBERED:
-            self.older, self.table = self.table, {}
-        new = seen.difference(self.table)
-        if self.older:
-            known = new.intersection(self.older)
-            self.table.update(zip(known, map(self.older.__getitem__, known), strict=True))
-            new -= known
-        order, rare = sorted(new, key=len), {}
-        plain = [w for w in order if w[0] != MARK]
-        for k in range(0, len(plain), LEARNED):
-            self._learn(plain[k : k + LEARNED], self.table)
-        self.table.update((w, self._whole(w[1:])) for w in order if w[0] == MARK)
-        for w in reversed(order):
-            if len(w) <= LONGEST:
-                break
-            rare[w] = self.table.pop(w)
-        get = (lambda w: rare[w] if w in rare else self.table[w]) if rare else self.table.__getitem__
-        return [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(batch, split, strict=True)]
+        get = self.table.__getitem__
+        out = [b"".join(map(get, self._words(t))) if self.known else self._whole(t) for t in batch]
+        self.table.rare.clear()
+        return out
 
 
 def encoder(path: str) -> Encoder:

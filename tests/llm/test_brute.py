@@ -544,6 +544,27 @@ def test_encoder_equals_the_tokenizer(batch):
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(path).encode(batch)] == [tok.encode(x, add_special_tokens=False).ids for x in batch]
 
 
+def test_encoder_splits_a_word_once(monkeypatch):
+    """Words met before, in this batch or an earlier one, are neither split nor tokenised again, whatever is forgotten."""
+    import public_tokenizers
+
+    path, tok, seen = public_tokenizers.path("word_bpe_49k.json"), word_tokenizer(), []
+    enc = packing.Encoder(path)
+    whole = enc.split
+    enc.split = type("Split", (), {"findall": lambda self, text: seen.append(len(text)) or whole.findall(text)})()
+    odd = "x" * 70 + ",\x00\xad" + "é" * 70
+    batch = ["It's the house, İ of 1999... a\x85b\xa0c ,,' " * 500, f"the house, {odd} {odd} 漢字, <|end|> 漢字, <|"]
+    ids = [tok.encode(x, add_special_tokens=False).ids for x in batch]
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(batch)] == ids
+    assert sum(seen) < 2000
+    assert not enc.table.rare and all(len(w) <= packing.LONGEST for w in enc.table)
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    enc = packing.Encoder(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(batch)] == ids
+    assert len(enc.table) <= 3 and len(enc.table.older) <= 3
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aethn o\nÉß漢😀'12.,▁"), max_size=60), max_size=6))
 def test_pieces_equal_the_library(batch):
