@@ -28,6 +28,8 @@ ORDERS = (1, 2, 3)
 CODE_BITS = 21
 #: (language, n-gram) counts that a partition holds before it sends them on.
 HELD = 400_000
+#: Bytes of text that are counted at once: arrays of some hundred bytes for each letter stand beside it.
+SLICE_BYTES = 250_000
 UNKNOWN = "und"
 
 
@@ -122,7 +124,7 @@ def profiles(docs: DataFrame, size: int = 300, lang: str = "lang") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("langid")
         total = _Counts()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             doc, gram, count = gram_counts(texts(b.column("text")))
             names, at = np.unique(np.array(b.column("lang").to_pylist(), dtype=object), return_inverse=True)
             for k, name in enumerate(names):
@@ -160,7 +162,7 @@ def identify(docs: DataFrame, profile: DataFrame, size: int = 300, max_languages
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("langid")
         names, grams, ranks = shared.value
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             n = b.num_rows
             doc, gram, rank = ranked(*gram_counts(texts(b.column("text"))), size)
             k = np.searchsorted(grams, gram)

@@ -1,5 +1,9 @@
 """Each operator on nulls, empty and very long texts, ties, repeated rows, clashing columns and empty tables."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +225,28 @@ def test_few_links_make_few_files(spark, monkeypatch):
             spark.conf.set(k, v)
     assert got == {(k, k // 8 * 8) for k in range(400)}
     assert max(files["large"] + files["small"]) <= 2 < max(files["edges"])
+
+
+def test_language_works_on_little_text_at_once(spark, monkeypatch):
+    """Two million letters in one Arrow batch: the steps of both passes hold arrays for a part of them only."""
+    text = ["".join(x) for x in np.random.default_rng(3).choice(list("abcde "), (500, 4000))]
+    docs = spark.createDataFrame([(1, "abcde", "a"), (2, "edcba", "b")], "doc_id long, text string, lang string")
+    learned, runs, plain = langid.profiles(docs), [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *a, **b: runs.append(run) or plain(self, run, *a, **b))
+    langid.profiles(docs)
+    langid.identify(docs, learned)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "text": text, "lang": ["a", "b"] * 250})
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            out = pa.Table.from_batches(run(iter([batch])))
+            return out.sort_by([(c, "ascending") for c in out.column_names]), tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    assert len(runs) == 2
+    parts = [peak(run) for run in runs]
+    assert max(mb for _, mb in parts) < 60, [mb for _, mb in parts]
+    monkeypatch.setattr(langid, "SLICE_BYTES", 100_000_000)
+    assert [t.to_pydict() for t, _ in parts] == [peak(run)[0].to_pydict() for run in runs]
