@@ -149,3 +149,22 @@ def test_truncation_geometry_of_all_vectors(spark, monkeypatch):
     (r,) = registry.QUERIES["mrl_geometry_all"](spark, sf).collect()
     assert r.pairs == len(f) > 10_000
     assert abs(r.pearson - np.corrcoef(f, c)[0, 1]) < 2e-6 and abs(r.mean_shift - np.abs(f - c).mean()) < 2e-6
+
+
+def test_dense_scores_round_as_sql_does(spark):
+    """Exact halves of the last digit go away from zero; without letters the score is NaN, before all others."""
+    import duckdb
+
+    vectors = {1: [7.0, 24.0], 2: [0.0, 0.0], 3: [-7.0, 24.0], 4: [55.0, 300.0], 5: [1.0, 2.0]} | {k: [float(k % 11), float(k * k % 13)] for k in range(6, 60)}
+    chunks = spark.createDataFrame([(k, k, v) for k, v in vectors.items()], "chunk_id long, act_id long, v array<double>")
+    asked = {1: [80.0, 18.0], 2: [1.0, 0.0], 3: [3.0, 4.0], 4: [0.0, 0.0]}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, v array<double>")
+    con = duckdb.connect()
+    con.execute("create table e (k bigint, v double[])")
+    con.execute("create table q (k bigint, v double[])")
+    con.executemany("insert into e values (?, ?)", list(vectors.items()))
+    con.executemany("insert into q values (?, ?)", list(asked.items()))
+    for digits in (1, 2, 3, 6):
+        want = con.sql(f"select * from (select q.k as q, e.k as e, round(list_cosine_similarity(q.v, e.v), {digits}) as s, row_number() over (partition by q.k order by s desc, e.k) as r from q, e) where r <= 5").fetchall()
+        got = [(r.query_id, r.chunk_id, r.score, r["rank"]) for r in retrieval.dense(queries, chunks, 5, digits).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
