@@ -45,3 +45,9 @@ def quantiles(df: DataFrame, column: str, points: list[float], allow_empty: bool
     upto = some.withColumn("upto", F.sum("n").over(Window.partitionBy("bin").orderBy("x")))
     hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
     return upto.join(F.broadcast(asked), "bin").where(hit).select("point", F.col("x").alias("value"))  # a row a point
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """A value of 0 at least, rounded as SQL's engine does: by its binary value, where F.round goes by its decimal text."""
+    scaled = value * 10.0**digits
+    return (F.floor(scaled) + F.when(scaled - F.floor(scaled) >= 0.5, 1).otherwise(0)) / 10.0**digits

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.functions.stats import rounded
 from papyra.functions.union import union_all
 
 #: Queries of a labelled basket at most.
@@ -29,7 +30,7 @@ def metrics(hits: DataFrame, gold: DataFrame, queries: DataFrame, levels: tuple[
         asked = gold.where(F.col(level).isNotNull()).select("query_id").distinct().join(queries.select("query_id", *([by] if by else [])), "query_id")
         rows = asked.join(first_matches(hits, gold, level), "query_id", "left")
         first = F.col("first")
-        share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), DIGITS)
+        share = lambda c: rounded(F.avg(F.coalesce(c, F.lit(0.0))), DIGITS)
         values = [F.count("*").alias("n"), *[share((first <= d).cast("double")).alias(f"recall_at_{d}") for d in DEPTHS], share(1 / first).alias("mrr"), share(F.when(first <= NDCG_DEPTH, 1 / F.log2(first + 1))).alias(f"ndcg_at_{NDCG_DEPTH}")]
         out.append((rows.rollup(by) if by else rows.groupBy()).agg(*values).withColumn("level", F.lit(level.removesuffix("_id"))).where("n > 0"))
     return union_all(out)
@@ -62,4 +63,4 @@ def overfetch_probe(scored: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     scored(query_id, chunk_id, rank): unfiltered ranks; wanted(query_id, chunk_id): gold in force."""
     first = scored.join(wanted, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
     rows = wanted.select("query_id").distinct().join(first, "query_id", "left").withColumn("depth", F.explode(F.array(*map(F.lit, PROBE))))
-    return rows.groupBy("depth").agg(F.round(F.avg(F.coalesce((F.col("first") <= F.col("depth") * k).cast("double"), F.lit(0.0))), DIGITS).alias("share"))
+    return rows.groupBy("depth").agg(rounded(F.avg(F.coalesce((F.col("first") <= F.col("depth") * k).cast("double"), F.lit(0.0))), DIGITS).alias("share"))

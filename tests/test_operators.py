@@ -168,3 +168,16 @@ def test_dense_scores_round_as_sql_does(spark):
         want = con.sql(f"select * from (select q.k as q, e.k as e, round(list_cosine_similarity(q.v, e.v), {digits}) as s, row_number() over (partition by q.k order by s desc, e.k) as r from q, e) where r <= 5").fetchall()
         got = [(r.query_id, r.chunk_id, r.score, r["rank"]) for r in retrieval.dense(queries, chunks, 5, digits).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_metrics_round_as_sql_does(spark):
+    """Means whose decimal text ends in a half, but whose binary value may be below it."""
+    import duckdb
+
+    con = duckdb.connect()
+    for n, first in ((200, [50, 100]), (200, [20, 100, 100]), (400, [20, 100])):
+        queries = spark.createDataFrame([(k,) for k in range(n)], "query_id long")
+        gold = queries.selectExpr("query_id", "query_id as act_id")
+        hits = spark.createDataFrame([(k, k, r) for k, r in enumerate(first)], "query_id long, act_id long, rank int")
+        want = con.sql(f"select round(avg(x), 4) from (select unnest({[1 / r for r in first] + [0.0] * (n - len(first))}::double[]) as x)").fetchall()[0][0]
+        assert evaluation.metrics(hits, gold, queries, ("act_id",)).first().mrr == want
