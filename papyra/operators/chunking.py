@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from papyra.functions.stats import pct, quantiles
 from papyra.functions.text import strip
-from papyra.functions.union import union_all
 
 #: Fixed value: the control character that stands for the section sign in outline labels.
 LABEL_CONTROL = "\x15"
@@ -100,16 +99,20 @@ def segments(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, node) of docs(doc_id, text, contents): a segment begins wherever a node does.
 
     Of several nodes at one place the deepest, then the latest, owns it. Text before the first node is a
-    preamble (node -1), and so is a document without contents.
+    preamble (node -1), and so is a document without contents. All of it happens inside a document's row.
     """
-    size = F.length(F.coalesce("text", F.lit("")))
-    base = docs.select("doc_id", size.cast("long").alias("size"), "contents")
-    nodes = base.select("doc_id", "size", F.posexplode("contents").alias("node", "x"))
-    starts = nodes.select("doc_id", "size", F.least(F.greatest(F.col("x.char_start").cast("long"), F.lit(0)), F.col("size")).alias("start"), F.col("x.level").alias("level"), "node")
-    starts = union_all([starts, base.select("doc_id", "size", F.lit(0).cast("long").alias("start"), F.lit(-1).alias("level"), F.lit(-1).alias("node"))])
-    owned = starts.groupBy("doc_id", "size", "start").agg(F.max_by("node", F.struct("level", "node")).alias("node"))
-    following = F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))
-    return owned.withColumn("end", F.coalesce(following, F.col("size"))).where(F.col("end") > F.col("start")).select("doc_id", "start", "end", "node")
+    size = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    base = docs.select("doc_id", size.alias("size"), "contents")
+    node = lambda start, level, nr: F.struct(start.cast("long").alias("start"), level.cast("int").alias("level"), nr.cast("int").alias("node"))
+    nodes = F.transform("contents", lambda x, i: node(F.least(F.greatest(x["char_start"].cast("long"), F.lit(0)), F.col("size")), x["level"], i))
+    none = F.array().cast("array<struct<start:bigint,level:int,node:int>>")
+    starts = F.sort_array(F.concat(F.coalesce(nodes, none), F.array(node(F.lit(0), F.lit(-1), F.lit(-1)))))
+    # Each array is bound to a name of its own, as what stands inside a lambda is computed for every element.
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    following = lambda a, i: F.get(a, i + 1)["start"]
+    owned = bound(starts, lambda a: F.filter(a, lambda x, i: following(a, i).isNull() | (following(a, i) != x["start"])))
+    cut = bound(owned, lambda a: F.transform(a, lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(following(a, i), F.col("size")).alias("end"), x["node"].alias("node"))))
+    return base.select("doc_id", F.explode(cut).alias("x")).where(F.col("x.end") > F.col("x.start")).select("doc_id", "x.start", "x.end", "x.node")
 
 
 def merge_siblings(segs: DataFrame, target: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from papyra.functions import stats
@@ -15,28 +18,25 @@ POINTS = [0.1, 0.5, 0.9, 0.99]
 SEED, ACTS = 7, 50
 E = views(editions=EDITIONS)
 
-#: An outline over documents: one node a line, three levels in turn.
-CONTENTS = """
-select doc_id, text, pos, concat('L', cast(pos as string)) as label, 1 + mod(pos, 3) as level, start as char_start
-from (
-  select doc_id, text, pos, cast(sum(length(line) + 1) over (partition by doc_id order by pos rows between unbounded preceding and current row) - length(line) - 1 as bigint) as start
-  from {lines}
-) l
-"""
+NODE = "struct<level:int,label:string,char_start:bigint,char_end:bigint,parent:int,pos:int>"
 
 
-def _lines(spark, sf):
-    d = docs(spark, sf)
-    return d.select("doc_id", "text", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+def line_outline(text: pa.Array) -> pa.Array:
+    """An outline of a text, inside its row: one node a line, three levels in turn."""
+    sizes = [np.fromiter(map(len, x.as_py().split("\n")), np.int64) if x.is_valid else None for x in text]
+    counts = np.array([0 if x is None else len(x) for x in sizes], np.int64)
+    offsets = np.concatenate([[0], counts.cumsum()])
+    pos = (np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts)).astype(np.int32)
+    start = pa.array(np.concatenate([np.zeros(0, np.int64), *(np.cumsum(x + 1) - x - 1 for x in sizes if x is not None)]))
+    label = pc.binary_join_element_wise("L", pc.cast(pa.array(pos), pa.string()), "")
+    nodes = [pa.array(1 + pos % 3), label, start, start, pa.array(pos - 1, mask=pos % 3 == 0), pa.array(pos)]
+    names = ["level", "label", "char_start", "char_end", "parent", "pos"]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(nodes, names), mask=pa.array([x is None for x in sizes]))
 
 
 def contents(spark, sf):
-    """documents with contents array<struct<level,label,char_start,char_end,parent>>."""
-    rows = spark.sql(CONTENTS, lines=_lines(spark, sf))
-    node = F.struct(
-        F.col("level").cast("int").alias("level"), "label", "char_start", F.col("char_start").alias("char_end"), F.when(F.col("pos") % 3 > 0, F.col("pos") - 1).cast("int").alias("parent"), "pos"
-    )
-    return rows.groupBy("doc_id").agg(F.first("text").alias("text"), F.sort_array(F.collect_list(F.struct("pos", node.alias("n")))).alias("c")).select("doc_id", "text", F.col("c.n").alias("contents"))
+    """documents that have a text, with contents array<struct<level,label,char_start,char_end,parent>>."""
+    return docs(spark, sf).where("text is not null").select("doc_id", "act_id", "title", "text", F.arrow_udf(line_outline, f"array<{NODE}>")("text").alias("contents"))
 
 
 def _account(spark, sf):

@@ -67,3 +67,21 @@ def test_table_form_has_exact_offsets(spark):
     chunks = ch.chunk_documents(df)
     assert ch.offset_violations(chunks, df).count() == 0
     assert {r.doc_id for r in chunks.collect()} == {1}
+
+
+def test_outline_and_segments_stay_inside_a_row(spark, tmp_path):
+    """No text is shuffled, and both forms of the segments agree, with nodes at one place, beyond the end and before the start."""
+    from papyra.plans import corpus, registry
+
+    rows = [(1, "a\n\nb"), (2, None), (3, ""), (4, "Αβγ 😀\nx\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'web' as source").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.contents for r in corpus.contents(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 3, 4]
+    assert [(x.level, x.label, x.char_start, x.char_end, x.parent, x.pos) for x in got[4]] == [(1, "L0", 0, 0, None, 0), (2, "L1", 6, 6, 0, 1), (3, "L2", 8, 8, 1, 2)]
+    for name in ("toc_segments", "chunk_documents_outline"):
+        plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    cases = [("abcdef", [node(9), node(-3, 2), node(0, 1), node(3, 1), node(3, 3), node(3, 3)]), ("abc", None), (None, [node(0)]), ("abc", [node(None), node(2, None)])]
+    frame = spark.createDataFrame([(k, t, c) for k, (t, c) in enumerate(cases)], "doc_id long, text string, contents array<struct<level:int,label:string,char_start:long,char_end:long,parent:int>>")
+    want = [(0, 0, 3, 1), (0, 3, 6, 5), (1, 0, 3, -1), (3, 0, 2, 0), (3, 2, 3, 1)]
+    assert sorted(map(tuple, ch.segments(frame).collect())) == want
