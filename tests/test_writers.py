@@ -121,3 +121,18 @@ def test_exploded_terms_carry_no_array(spark):
     (generate,) = [x for x in plan.splitlines() if "Generate explode" in x]
     assert generate.count("explode") == 1 and plan.count("regexp_extract_all") == 2  # words and codes, once each
     assert "[2]" in generate  # the array is not among the columns that go on
+
+
+def test_index_is_dealt_by_the_size_of_its_files(spark, tmp_path, monkeypatch):
+    """Tasks grow in number, not in size; a chunk's terms are counted inside its row."""
+    rows = [(k, f"bb aa bb aa aa 12 {'c' * (k % 7)}" if k % 5 else None) for k in range(200)]
+    spark.createDataFrame(rows, "chunk_id long, text string").repartition(3).write.parquet(str(tmp_path / "texts"))
+    chunks = spark.read.parquet(str(tmp_path / "texts"))
+    size = sum(f.stat().st_size for f in (tmp_path / "texts").glob("*.parquet"))
+    monkeypatch.setattr(lexical, "SHARE", 1000)
+    built = lexical.build(chunks)
+    assert built.postings.rdd.getNumPartitions() == -(-size // 1000) > 1
+    assert "Aggregate" not in built.postings._jdf.queryExecution().executedPlan().toString()
+    got = {tuple(r) for r in built.postings.collect()}
+    want = {(k, 6 + (k % 7 > 1), t, n) for k in range(200) if k % 5 for t, n in (("aa", 3), ("bb", 2), ("12", 1), ("c" * (k % 7), 1)) if len(t) > 1}
+    assert got == want
