@@ -121,6 +121,18 @@ def test_model(spark, docs, none):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in empty)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_model_has_ranges_by_the_size_of_its_texts(spark, docs, none, monkeypatch, order):
+    rows = lambda model: sorted(((r.doc_id, r.n_tokens, round(r.score, 9)) for r in lm.score(docs, model).collect()), key=repr)
+    want = rows(lm.train(docs, Scratch(spark, "t"), ranges=3, order=order))
+    monkeypatch.setattr(lm, "RANGE", 40)
+    model = lm.train(docs, Scratch(spark, "t"), order=order)
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert model.ranges == max(4, -(-size // 40)) > 4
+    assert rows(model) == want
+    assert lm.train(none, Scratch(spark, "t"), order=order).ranges == 4
+
+
 def test_pieces(spark, docs, none):
     import public_tokenizers
     import sentencepiece
